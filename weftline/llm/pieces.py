@@ -290,7 +290,7 @@ class Model:
                 first = words.pop(0)
                 if first:
                     out += self.new[1].get(first) or self._word(first, 1)
-            if "" in words[1:] or (number and "" in words):  # runs of spaces
+            if "" in words and (number or len(words) > 1):  # runs of spaces
                 rest = (SPACE if words else "") + SPACE.join(words)
                 for w in _WORD.findall(rest):
                     out += self._word(w, 1)
