@@ -1,24 +1,24 @@
 """Quality classifier by importance resampling.
 
 Two generative models over hashed n-grams (words, pairs of words and a mark for
-repeated words): the target's, from labelled good text, and the raw corpus's,
-counted over all documents. The log ratio of the two, summed over a document's
-n-grams, is its log weight; documents are drawn without replacement by Gumbel
-top-k on log weight / temperature.
-
-Counts and scores cover all documents and whole texts. Only the target model
-and the cut are fitted on labelled rows, at most ``max_labels`` of them, those
-with the smallest hash of their id. k isn't a constant: it is the number of
-documents whose log weight reaches the cut that separates the labelled rows
-best, so it follows the corpus.
-
-The log ratio of n-gram j is log((c_j + s) / (E_j + s)) with c_j its count in
-the target sample, E_j what the raw model expects in a sample of that size, and
-s a pseudo-count, with E scaled by the ratio that most of the target's n-grams
-share. It counts where it is large and beyond chance (5 sigmas and a factor of
-20, or 25 sigmas and a factor of 7). So n-grams that are too rare to tell add
-nothing however long a text is, and those that the raw text uses and good text
-doesn't weigh against a document.
+words said five times in a row), each counting the documents that hold one: the
+target's, from labelled good text, and the raw corpus's, over all documents.
+The log ratio of the two, summed over a document's n-grams, is its log weight;
+documents are drawn without replacement by Gumbel top-k on log weight divided
+by a temperature.
+
+Counts and scores cover all documents and whole texts. Only what is fitted on
+labels has a bound: at most ``max_labels`` rows, those with the smallest hash of
+their id. k isn't a constant: it is the number of documents whose log weight
+reaches the cut that separates the labelled rows best, so it follows the corpus.
+
+The log ratio of n-gram j is log((c_j + s) / (E_j + s)), with c_j its count in
+the target sample, E_j what the raw model expects in a sample of that size and s
+a pseudo-count. It counts where good text avoids the n-gram (-1 or less) and the
+labelled rejects confirm it: in 8 times the share of the documents, beyond 6
+sigmas, next to ``MIN_CONTEXTS`` different words and in documents with
+``MIN_SIGNATURES`` different min-hashes. The last two can't be met by one text
+however often it is copied, so the rare words of a copied text weigh nothing.
 
 Defined cases: null and empty texts have log weight 0; without labels of both
 classes the cut is 0; ties at the k-th key are all selected; repeated rows each
@@ -42,6 +42,9 @@ from weftline.llm._common import map_batches, materialize
 
 BUCKETS = 1 << 20
 PSEUDO = 0.5
+#: Of 64 places that neighbours and min-hashes are dealt to.
+MIN_CONTEXTS = 24
+MIN_SIGNATURES = 8
 MAX_LABELS = 20_000
 TEMPERATURE = 0.1
 SEED = 11
@@ -60,55 +63,93 @@ def _hash(word: str) -> int:
     return h
 
 
-def ngram_buckets(text: str | None) -> np.ndarray:
-    """Bucket of every unigram and bigram; a repeated word's pair is one mark."""
-    if not text:
-        return np.zeros(0, np.int64)
-    one = np.array([_hash(w) for w in _TOKEN.findall(text.lower())], np.uint64)
+def _ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram, and the place (0 to 63) of the word before it."""
+    one = np.array([_hash(w) for w in _TOKEN.findall(text.lower())], np.uint64) if text else np.zeros(0, np.uint64)
     if not len(one):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    before = np.concatenate([np.zeros(1, np.uint64), one[:-1]]) >> np.uint64(7) & np.uint64(63)
     a, b = one[:-1], one[1:]
     two = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F)
-    two = np.where(a == b, np.uint64(1), two >> np.uint64(20))
-    return (np.concatenate([one >> np.uint64(20), two]) % np.uint64(BUCKETS)).astype(np.int64)
+    at = np.concatenate([one >> np.uint64(20), two >> np.uint64(20)]) % np.uint64(BUCKETS)
+    around = np.concatenate([before, before[:-1]])
+    same = a == b
+    if len(same) > 3 and (run := same[3:] & same[2:-1] & same[1:-2] & same[:-3]).any():
+        said = one[:-4][run] >> np.uint64(7) & np.uint64(63)
+        at, around = np.concatenate([at, np.ones(len(said), np.uint64)]), np.concatenate([around, said])
+    return at.astype(np.int64), around
+
+
+def ngram_buckets(text: str | None) -> np.ndarray:
+    """Distinct buckets of a text's n-grams."""
+    return np.unique(_ngrams(text)[0])
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(bucket, n) over all texts: a vector a task, then sums by bucket."""
+    """(bucket, n): documents that hold an n-gram; a vector a task, then sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                np.add.at(total, ngram_buckets(text), 1)
+                total[ngram_buckets(text)] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def _vector(counts: DataFrame) -> np.ndarray:
-    out = np.zeros(BUCKETS, np.float64)
-    rows = counts.toPandas()  # at most BUCKETS rows
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float64)
-    return out
+def count_labelled(known: DataFrame) -> DataFrame:
+    """(bucket, good, bad, contexts, signatures) over rows (text, good)."""
 
-
-def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of each bucket where it is beyond chance, else zero."""
-    if not target.sum() or not raw.sum():
-        return np.zeros(BUCKETS)
-    expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + PSEUDO) / (expected + PSEUDO))
-    # Good text makes up less than the raw corpus, so all its n-grams lean one
-    # way; the ratio that half of the target's mass lies below is taken off.
-    order = np.argsort(ratio)
-    mass = np.cumsum(target[order])
-    expected *= np.exp(ratio[order[np.searchsorted(mass, mass[-1] / 2)]])
-    ratio = np.log((target + PSEUDO) / (expected + PSEUDO))
-    sigmas = np.abs(target - expected) / np.sqrt(expected + 1)
-    clear = ((sigmas >= 5) & (np.abs(ratio) >= 3)) | ((sigmas >= 25) & (np.abs(ratio) >= 2))
-    return np.where(clear, ratio, 0.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        contexts, signatures = np.zeros(BUCKETS, np.uint64), np.zeros(BUCKETS, np.uint64)
+        for b in batches:
+            for text, is_good in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at, around = _ngrams(text)
+                distinct = np.unique(at)
+                if is_good:
+                    good[distinct] += 1
+                elif len(at):
+                    bad[distinct] += 1
+                    np.bitwise_or.at(contexts, at, np.uint64(1) << around)
+                    least = (distinct.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).min()
+                    signatures[distinct] |= np.uint64(1) << (least >> np.uint64(20) & np.uint64(63))
+        at = np.flatnonzero(good + bad)
+        cols = [at, good[at], bad[at], contexts[at].view(np.int64), signatures[at].view(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "good", "bad", "contexts", "signatures"])
+
+    made = known.select(F.col("text").cast("string"), "good").mapInArrow(run, "bucket long, good long, bad long, contexts long, signatures long")
+    return made.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.bit_or("contexts").alias("contexts"), F.bit_or("signatures").alias("signatures"))
+
+
+def ratios(spark: SparkSession, docs: DataFrame, known: DataFrame) -> np.ndarray:
+    """Log ratio of each bucket where it counts, else zero.
+
+    The tables of all buckets stay on the executors; the driver gets those that
+    count.
+    """
+    out = np.zeros(BUCKETS)
+    sizes = known.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
+    n_good, n_bad = sizes[0] or 0, sizes[1] or 0
+    if not n_good or not n_bad:
+        return out
+    labelled = materialize(spark, count_labelled(known), "labelled-ngrams")
+    raw = materialize(spark, count_ngrams(docs), "raw-ngrams")
+    scale = (labelled.agg(F.sum("good")).first()[0] or 0) / max(1, raw.agg(F.sum("n")).first()[0] or 0)
+    expected = F.col("n") * scale
+    ratio = F.log((F.col("good") + PSEUDO) / (expected + PSEUDO))
+    p = n_bad / (n_good + n_bad)
+    both = F.col("good") + F.col("bad")
+    sigmas = (F.col("bad") - both * p) / F.sqrt(both * (p * (1 - p)))
+    share = (F.col("bad") / n_bad) / ((F.col("good") + PSEUDO) / n_good)
+    clear = (ratio <= -1) & (sigmas >= 6) & ((share >= 8) | (F.col("bad") > 300))
+    clear &= (F.bit_count("contexts") >= MIN_CONTEXTS) & (F.bit_count("signatures") >= MIN_SIGNATURES)
+    rows = labelled.join(raw, "bucket").where(clear).select("bucket", ratio.alias("r")).collect()
+    for bucket, r in rows:
+        out[bucket] = r
+    return out
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -127,12 +168,32 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
 
 
 class Fit:
-    """Log ratios and cut."""
+    """The log ratios that aren't zero, by bucket, and the cut."""
 
     def __init__(self, ratio: np.ndarray, cut: float):
         self.ratio, self.cut = ratio, cut
 
 
+def _sparse(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(ratio)
+    return at, ratio[at]
+
+
+def _dense(shared) -> np.ndarray:
+    """The vector of all buckets, made once a worker from those that count."""
+    at, values = shared.value
+    key = (len(at), at.tobytes(), values.tobytes())
+    if key not in _VECTORS:
+        _VECTORS.clear()
+        out = np.zeros(BUCKETS)
+        out[at] = values
+        _VECTORS[key] = out
+    return _VECTORS[key]
+
+
+_VECTORS: dict[tuple, np.ndarray] = {}
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Fit:
     """Target model and cut from a bounded labelled sample, raw model from all."""
     chosen = (
@@ -144,22 +205,21 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int
         .limit(max_labels)
     )
     known = materialize(spark, docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
-    raw = _vector(count_ngrams(docs))
-    ratio = ratios(_vector(count_ngrams(known.where("good"))), raw)
+    ratio = ratios(spark, docs, known)
     rows = _scored(spark, known.select("doc_id", "text", "good"), ratio).toPandas()  # max_labels rows
     return Fit(ratio, best_cut(rows["log_weight"].to_numpy(np.float64), rows["good"].to_numpy(bool)) if len(rows) else 0.0)
 
 
 def _scored(spark: SparkSession, docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """Rows with log_weight in place of the text."""
-    shared = spark.sparkContext.broadcast(ratio)  # BUCKETS numbers
+    shared = spark.sparkContext.broadcast(_sparse(ratio))
     at = docs.columns.index("text")
     rest = [i for i in range(len(docs.columns)) if i != at]
     names = [*(docs.columns[i] for i in rest), "log_weight"]
     schema = docs.drop("text").schema.add("log_weight", "double")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        r = shared.value
+        r = _dense(shared)
         w = [float(r[ngram_buckets(t)].sum()) for t in batch.column(at).to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(w, pa.float64())], names=names)
 
@@ -221,12 +281,12 @@ def keep_selected(spark: SparkSession, docs: DataFrame, labels: DataFrame, tempe
     least = kth_largest(rows, "gumbel_key", k)
     if least is None:
         return docs.where(F.lit(False))
-    shared = spark.sparkContext.broadcast(model.ratio)
+    shared = spark.sparkContext.broadcast(_sparse(model.ratio))
     at = docs.columns.index("text")
     with_weight = T.StructType([*docs.schema]).add("_log_weight", "double")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        r = shared.value
+        r = _dense(shared)
         w = [float(r[ngram_buckets(t)].sum()) for t in batch.column(at).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, pa.float64())], names=[*batch.schema.names, "_log_weight"])
 
