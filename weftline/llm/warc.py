@@ -235,7 +235,9 @@ def read_archive(source) -> Iterator[dict]:
 def write_archives(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Archives (data) of all pages, written to the shared folder."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), byte_text("html").alias("b")).withColumn("sha", F.sha2("b", 256))
-    first = rows.groupBy("sha").agg(F.max("page_id").alias("ref"))
+    # A table of its own, so that Spark can split the join where one payload
+    # stands on very many pages.
+    first = materialize(spark, rows.groupBy("sha").agg(F.max("page_id").alias("ref")), "payloads")
     typed = rows.join(first, "sha").select("page_id", "url", "b", F.when(~F.col("page_id").eqNullSafe(F.col("ref")), F.col("ref")).alias("ref"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
