@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import decontam, flac, htmltext, lines, passages, pieces, quality, secrets, simhash, warc
 from weftline.llm._common import table
