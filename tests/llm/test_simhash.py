@@ -85,3 +85,30 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
     none = df.where("false")
     assert simhash.components(spark, none).count() == 0 and simhash.keep_one(spark, none).count() == 0
+
+
+def test_edited_copies(spark):
+    rng = random.Random(7)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    docs = []
+    for i in range(40):
+        base = say(200)
+        docs.append((10 * i, " ".join(base)))
+        for k in range(1, 6):  # from clearly alike to clearly below the limit
+            edited = list(base)
+            for at in rng.sample(range(200), k * 2):
+                edited[at] = "edit"
+            docs.append((10 * i + k, " ".join(edited)))
+    rng.shuffle(docs)
+    of = {i: sets(t) for i, t in docs}
+    linked = [(a, b) for a, b in itertools.combinations(sorted(of), 2) if a // 10 == b // 10 and len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b])]
+    fp = {i: plain(t) for i, t in docs}
+    assert sum((fp[a] ^ fp[b]).bit_count() > 2 for a, b in linked) > 20
+    want = set(roots(sorted(of), linked).values())
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(spark, df).collect()) == sorted(want)
