@@ -198,6 +198,22 @@ def test_passages(spark):
     assert passages.passages(spark, df.where("false")).count() == 0
 
 
+def test_passages_with_one_partner(spark):
+    rng = random.Random(12)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    docs, want = [], set()
+    for i, gap in enumerate([20, 50, 80, 100, 130, 150, 200]):
+        parts = [say(60 + 10 * i) for _ in range(3)]
+        n = 60 + 10 * i
+        a = [*say(30), *parts[0], *say(gap), *parts[1], *say(gap), *parts[2], *say(30)]
+        b = [*parts[0], *say(gap), *parts[1], *say(gap + 5), *parts[2]]
+        docs += [(100 * i, " ".join(a)), (100 * i + 1, " ".join(b))]
+        at = [(0, 30), (n + gap, 30 + n + gap), (2 * n + 2 * gap + 5, 30 + 2 * n + 2 * gap)]
+        want |= {(100 * i + 1, p, p + n, 100 * i, q, q + n) for p, q in at}
+    got = [tuple(r)[:6] for r in passages.passages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 # --- quality ------------------------------------------------------------------
 
 
