@@ -146,6 +146,49 @@ def test_lines(spark):
     assert lines.dedup(spark, df.where("false")).count() == 0
 
 
+def brute_blocks(docs):
+    order = sorted(range(len(docs)), key=lambda n: (docs[n][0] is None, docs[n][0] or 0, n))
+    split = [(t or "").split("\n") for _, t in docs]
+    split = [x if x[-1] else x[:-1] for x in split]
+    seen, gone = {}, set()
+    for n in order:
+        for i in range(len(split[n]) - 1):
+            pair = (split[n][i], split[n][i + 1])
+            if any(pair) and (m := seen.setdefault(pair, (n, i))) != (n, i) and (m[0] != n or i > m[1] + 1):
+                gone |= {(n, i), (n, i + 1)}
+    out = []
+    for n, (i, t) in enumerate(docs):
+        parts = (t or "").split("\n")
+        out.append((i, None if t is None else "".join(x + "\n" * (k + 1 < len(parts)) for k, x in enumerate(parts) if (n, k) not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_blocks(spark):
+    rng = random.Random(13)
+    say = lambda: " ".join(rng.choice("abcdefghijklm") for _ in range(6))
+    docs = [*line_docs(), (None, "p\nq\nr"), (90, "p\nq\nr\n"), (91, "one\n\n\ntwo"), (92, "three\n\n\nfour"), (93, "k\nk\nk\nk\nk")]
+    blocks = {}
+    for n in range(2, 9):
+        for k in range(10):
+            block = [say() for _ in range(n)]
+            i = 1000 + 100 * n + 2 * k
+            docs.append((i, "\n".join([say(), *block, say()])))
+            ends = say(), say()
+            docs.append((i + 1, "\n".join([ends[0], *block, ends[1]])))
+            blocks[i + 1] = "\n".join(ends)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).withColumn("uid", F.lit("u")).withColumn("n", F.lit(2.5))
+    out = lines.dedup_blocks(spark, df)
+    rows = out.collect()
+    assert out.columns == df.columns and {(r.uid, r.n) for r in rows} == {("u", 2.5)}
+    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == brute_blocks(docs)
+    assert {r.doc_id: r.text for r in rows if r.doc_id in blocks} == blocks
+    counts = lines.dedup_blocks(spark, df, counts=True)
+    assert counts.columns == ["doc_id", "text", "n_chunks", "n_removed"]
+    assert sorted(((r.doc_id, r.text) for r in counts.collect()), key=repr) == brute_blocks(docs)
+    assert counts.where("doc_id between 51 and 55 and n_removed > 3").count() == 5
+    assert lines.dedup_blocks(spark, df.where("false")).count() == 0
+
+
 def test_chunks_shift():
     t = line_docs()[20][1]
     a, b = {c for c, _ in lines.chunks(t)}, {c for c, _ in lines.chunks("new first line\n" + t)}

@@ -7,6 +7,14 @@ several places are kept in the first (smallest doc_id, then position) and
 removed elsewhere. Chunks are grouped by hash and then by their bytes: equal
 hashes of different chunks never merge.
 
+Chunks are about four lines, so ``dedup`` misses most short blocks. For every
+block of two lines and more ``dedup_blocks`` looks at each pair of consecutive
+lines: a pair that stands at an earlier place takes both its lines out. Blocks
+of any length are made of such pairs, so each is taken out from its first line to
+its last. The first place of every line stays, as no earlier place holds it.
+Pairs are grouped by a 128-bit BLAKE2b digest; pairs of two empty lines, which
+part paragraphs, don't count, nor does a pair that overlaps its own first place.
+
 A hot chunk costs one row per task that read it: groups are reduced before the
 shuffle. A document comes together again from its own chunks only.
 
@@ -20,6 +28,8 @@ null ids come last; empty tables give empty results; other columns are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import chunked
+from weftline.llm._common import byte_text, chunked, map_batches, materialize
 
 WINDOW = 2
 #: One line in four ends a chunk.
@@ -114,3 +124,77 @@ def dedup(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFra
         n = F.greatest("n_chunks", F.lit(0)).cast("long")
         return whole.select("rest.doc_id", text.alias("text"), n.alias("n_chunks"), (n - F.size("parts")).cast("long").alias("n_removed"))
     return whole.select(*[text.alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
+
+
+def _split(text: bytes) -> list[bytes]:
+    """Lines without their newlines."""
+    out = text.split(b"\n")
+    return out if out[-1] else out[:-1]
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(pair, uid, id, pos): digests of each two consecutive lines."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts = batch.column(2).to_pylist()
+        for a, z in chunked([len(t) + 64 for t in texts], 8 << 20):
+            pairs, take, pos = [], [], []
+            for row in range(a, z):
+                for i, (one, two) in enumerate(pairwise(_split(texts[row]))):
+                    if one or two:
+                        pairs.append(blake2b(one + b"\n" + two, digest_size=16).digest())
+                        take.append(row)
+                        pos.append(i)
+            at = pa.array(take, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32())], names=["pair", "uid", "id", "pos"])
+
+    src = rows.select("_uid", F.col("doc_id").cast("long"), byte_text())
+    return map_batches(src, run, "pair binary, uid long, id long, pos int")
+
+
+def dedup_blocks(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFrame:
+    """All columns, with repeated blocks of two lines and more taken out of the text.
+
+    With ``counts``: doc_id, text, n_chunks and n_removed instead, of the text's
+    chunks and those of them that are taken out whole.
+    """
+    rows = materialize(spark, docs.withColumn("text", F.col("text").cast("string")).withColumn("_uid", F.monotonically_increasing_id()), "line-docs")
+    pairs = materialize(spark, _pairs(rows), "line-pairs")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "pos")
+    first = pairs.groupBy("pair").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
+    # As a table of its own both sides of the join are plain shuffles, which Spark
+    # splits where one pair has very many places.
+    first = materialize(spark, first.select("pair", F.col("at.uid").alias("first_uid"), F.col("at.pos").alias("first_pos")), "line-firsts")
+    later = pairs.join(first, "pair").where("uid <> first_uid or pos > first_pos + 1").select("uid", "pos")
+    gone = materialize(spark, later, "line-repeats").groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("pos").alias("_gone"))
+    # One plan at all sizes: few repeats aren't broadcast either.
+    both = rows.join(gone.hint("merge"), "_uid", "left").select(*docs.columns, "_gone")
+    if not counts:
+        parts = F.split("text", "\n", -1)
+        out = F.array_union("_gone", F.transform("_gone", lambda i: i + 1))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), out)
+        line = lambda i: F.concat(F.get(F.col("_parts"), i), F.when(i + 1 < F.size("_parts"), "\n").otherwise(""))
+        both = both.withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts)).withColumn("_stay", stay)
+        text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", line), ""))
+        return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    both = both.select("doc_id", "text", "_gone")
+    schema = both.drop("_gone").schema.add("n_chunks", "long").add("n_removed", "long")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        texts, n_chunks, n_removed = batch.column(1).to_pylist(), [], []
+        for row, starts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            text = texts[row]
+            out = {i + k for i in starts or () for k in (0, 1)}
+            if out:
+                lines = text.split("\n")
+                texts[row] = "".join(x + "\n" * (i + 1 < len(lines)) for i, x in enumerate(lines) if i not in out)
+            whole, start, n = 0, 0, 0
+            for _, many in chunks(text) if text else ():
+                whole += bool(out) and out.issuperset(range(start, start + many))
+                start, n = start + many, n + 1
+            n_chunks.append(n)
+            n_removed.append(whole)
+        cols = [batch.column(0), pa.array(texts, pa.string()), pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+
+    return map_batches(both, run, schema)

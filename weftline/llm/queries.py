@@ -13,7 +13,7 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, d: str) -> DataFrame:
-    return lines.dedup(spark, table(spark, d, "documents"), counts=True)
+    return lines.dedup_blocks(spark, table(spark, d, "documents"), counts=True)
 
 
 def op3(spark: SparkSession, d: str) -> DataFrame:
