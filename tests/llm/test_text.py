@@ -30,35 +30,46 @@ def test_ids_are_the_models_own(model):
     spm = pytest.importorskip("sentencepiece")
     m, lib = pieces.Model(model), spm.SentencePieceProcessor(model_file=pieces.DEFAULT_MODEL)
     rng = random.Random(1)
-    texts = ["", " ", "  a  b ", "a" * 300, "\n\n x", "a" * 50 + " " * 40 + "b", "".join(chr(rng.randrange(97, 110)) for _ in range(2000))]
+    texts = ["", " ", "  a  b ", "a" * 300, "x" * 2000, "=" * 1500, "\n\n x", "a" * 50 + " " * 40 + "b", "".join(chr(rng.randrange(97, 110)) for _ in range(2000)), "日本x" * 400]
     texts += [noise(rng, rng.randrange(60)) for _ in range(400)]
     for t in texts:
         want = lib.encode(t)
         assert m.encode(t) == want, t
-        assert m._segment(m.normalise(t)) == want, t  # the streaming pass alone
+        assert [i for part in m.stream(m.normalise(t)) for i in part] == want, t  # without cuts
         if "▁" not in t:
             assert m.decode(want) == t
 
 
 def test_unigram_viterbi_is_the_best_path(model):
     m = pieces.Model(model)
-    m.type, m.scores = pieces.UNIGRAM, [-len(p) ** 0.5 - i / 40_000 for i, p in enumerate(m.pieces)]
+    m.type, m._scores = pieces.UNIGRAM, np.array([-len(p) ** 0.5 - i / 40_000 for i, p in enumerate(m.pieces)])
+    m.scores = m._scores.tolist()
     rng = random.Random(2)
-    for _ in range(60):
-        t = "".join(rng.choice("etaoin") for _ in range(rng.randrange(1, 70)))
+    for n in [*range(1, 60), 300, 1000]:
+        t = "".join(rng.choice("etaoin") for _ in range(n))
         best = [0.0] + [None] * len(t)
         for end in range(1, len(t) + 1):
             for begin in range(max(0, end - m.longest), end):
                 i = m.ids.get(t[begin:end])
                 if i is not None and (best[end] is None or best[begin] + m.scores[i] > best[end]):
                     best[end] = best[begin] + m.scores[i]
-        got = [p for part in m.stream(t) for p in part]
-        assert "".join(got) == t and abs(sum(m.scores[m.ids[p]] for p in got) - best[-1]) < 1e-6
+        got = [i for part in m.stream(t) for i in part]
+        assert "".join(m.pieces[i] for i in got) == t and abs(sum(m.scores[i] for i in got) - best[-1]) < 1e-6
 
 
 def test_commits_are_early(model):
-    parts = list(pieces.Model(model).stream("▁" + "the▁cat▁" * 500))
-    assert len(parts) > 50 and max(map(len, parts)) < 64
+    m = pieces.Model(model)
+    widths = []
+    plain = m._window
+    m._window = lambda texts, *rest: widths.extend(map(len, texts)) or plain(texts, *rest)
+    parts = list(m.stream("▁" + "the▁cat▁" * 500))
+    assert len(parts) > 10 and max(widths) == pieces.WINDOW * m.longest
+    # Ways that don't meet within a window: it is read again, wider.
+    lone = pieces.Model(model)
+    lone.type, lone.ids = pieces.UNIGRAM, {p: i for p, i in lone.ids.items() if p in ("a", "aa", "aaa")}
+    lone.longest, lone._scores = 3, np.zeros(len(lone.pieces))
+    lone._tree()
+    assert "".join(lone.pieces[i] for part in lone.stream("a" * 1001) for i in part) == "a" * 1001
 
 
 def test_encode_frames(spark, model):
