@@ -305,6 +305,42 @@ def test_held_out_accuracy(spark):
     assert none.count() == 0 and quality.keep_selected(spark, df, lab.where("false")).count() > 0
 
 
+def test_weights_and_draw_by_brute_force(spark):
+    docs, labels = corpus(600)
+    docs += [(9001, None), (9002, ""), (9003, "Said said said said said!! again"), (9004, docs[1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("_weight", F.lit("x")).withColumn("_key", F.lit(1))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [set(quality.ngram_buckets(t).tolist()) for _, t in docs]
+    good = {i for i, q, t in labels if q and not t}
+    raw, target = {}, {}
+    for (i, _), have in zip(docs, held):
+        for b in have:
+            raw[b] = raw.get(b, 0) + 1
+            target[b] = target.get(b, 0) + (i in good)
+
+    def weight(b, own=0):
+        c, e = max(target[b] - own, 0), raw[b] * len(good) / len(docs)
+        z = ((c - e) / (e + 1) ** 0.5) ** 4
+        w = np.log((c + 1) / (e + 1)) * z / (z + (7 if quality.BUCKETS <= b < quality.RUN else 3) ** 4)
+        return w if abs(w) >= 0.01 else 0.0
+
+    want = {i: sum(map(weight, have)) for (i, _), have in zip(docs, held)}
+    rows = {r.doc_id: r for r in quality.score(spark, df, lab).collect()}
+    assert all(abs(rows[i].log_weight - w) < 1e-4 for i, w in want.items()) and any(w > 0 for w in want.values())
+    by = dict(zip((i for i, _ in docs), held))
+    train = np.array([sum(weight(b, i in good) for b in by[i]) for i, _, _ in labels])
+    cut = quality.best_cut(train, np.array([i in good for i, _, _ in labels]))
+    k = sum(w >= cut for w in want.values())
+    keys = sorted((r.gumbel_key for r in rows.values()), reverse=True)
+    assert 0 < k < len(docs) and all(r.selected == (r.gumbel_key >= keys[k - 1]) for r in rows.values())
+    # The noise matters: at a high temperature the draw isn't the cut.
+    hot = quality.score(spark, df, lab, temperature=20.0).collect()
+    assert 0 < sum(r.selected != (r.log_weight >= cut) for r in hot)
+    kept = quality.keep_selected(spark, df, lab)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.selected}
+    assert quality.RUN in by[9003] and not by[9001]
+
+
 def test_kth_largest(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, 3000), np.full(500, 0.25), [1e300, -1e300]])

@@ -22,13 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that setting is
-    absent (tests in local mode) a temporary folder is made.
+    ``spark.checkpoint.dir`` names it on a cluster, and must be set there. In
+    local mode (tests) a temporary folder is made where it isn't set.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="weftline-shared-")
     return _LOCAL_FALLBACK[app]
@@ -87,3 +89,11 @@ def rename_clashes(df: DataFrame, reserved: set[str]) -> DataFrame:
                 new = f"in_{new}"
             df = df.withColumnRenamed(name, new)
     return df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name

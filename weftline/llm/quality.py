@@ -1,29 +1,32 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed n-grams (words, pairs of words and a mark for
-words said five times in a row), each counting the documents that hold one: the
-target's, from labelled good text, and the raw corpus's, over all documents.
-The log ratio of the two, summed over a document's n-grams, is its log weight;
-documents are drawn without replacement by Gumbel top-k on log weight divided
-by a temperature.
+Two generative models over hashed n-grams (words, pairs of words, and a word said
+five times in a row), each counting the documents that hold one: the target's,
+from labelled good text, and the raw corpus's, over all documents. The log ratio
+of the two, summed over a document's distinct n-grams, is its log weight;
+documents are drawn without replacement by Gumbel top-k on log weight divided by
+``TEMPERATURE``.
+
+With c_j the count of n-gram j in the target sample, E_j what the raw model
+expects in a sample of that size, and s = ``PSEUDO``, its log ratio is
+log((c_j + s) / (E_j + s)). A ratio is known as well as its counts allow, so it is
+shrunk by z^4 / (z^4 + L^4), with z = (c_j - E_j) / sqrt(E_j + s) and L =
+``SHRINK``, larger for pairs, of which there are many more. No n-gram is left out:
+what a count can't tell apart from chance weighs next to nothing, at any number
+of documents and labels. Weights under ``LEAST`` are rounded to zero.
 
 Counts and scores cover all documents and whole texts. Only what is fitted on
 labels has a bound: at most ``max_labels`` rows, those with the smallest hash of
-their id. k isn't a constant: it is the number of documents whose log weight
-reaches the cut that separates the labelled rows best, so it follows the corpus.
-
-The log ratio of n-gram j is log((c_j + s) / (E_j + s)), with c_j its count in
-the target sample, E_j what the raw model expects in a sample of that size and s
-a pseudo-count. It counts where good text avoids the n-gram (-1 or less) and the
-labelled rejects confirm it: in 8 times the share of the documents, beyond 6
-sigmas, next to ``MIN_CONTEXTS`` different words and in documents with
-``MIN_SIGNATURES`` different min-hashes. The last two can't be met by one text
-however often it is copied, so the rare words of a copied text weigh nothing.
+their id. A target row is scored without its own count when the cut is chosen, as
+rows outside the sample are. k isn't a constant: it is the number of documents
+whose log weight reaches the cut that separates the labelled rows best, so it
+follows the corpus.
 
 Defined cases: null and empty texts have log weight 0; without labels of both
-classes the cut is 0; ties at the k-th key are all selected; repeated rows each
-get a result row; empty tables give empty results; other columns are ignored by
-``score`` and kept by ``keep_selected``.
+classes all weights and the cut are 0; a labelled doc_id that several rows have
+is fitted on the smallest text; ties at the k-th key are all selected; repeated
+rows each get a result row; empty tables give empty results; other columns are
+ignored by ``score`` and kept by ``keep_selected``, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,58 +41,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import map_batches, materialize
+from weftline.llm._common import free_name, materialize
 
+#: Buckets of words, and as many of pairs.
 BUCKETS = 1 << 20
-PSEUDO = 0.5
-#: Of 64 places that neighbours and min-hashes are dealt to.
-MIN_CONTEXTS = 24
-MIN_SIGNATURES = 8
+RUN = 2 * BUCKETS
+PSEUDO = 1.0
+SHRINK = {"word": 3.0, "pair": 7.0}
+LEAST = 0.01
 MAX_LABELS = 20_000
-TEMPERATURE = 0.1
+TEMPERATURE = 0.25
 SEED = 11
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_KNOWN: dict[str, int] = {}
-_KEEP = 500_000
-
-
-def _hash(word: str) -> int:
-    h = _KNOWN.get(word)
-    if h is None:
-        if len(_KNOWN) >= _KEEP:
-            _KNOWN.clear()
-        h = _KNOWN[word] = xxhash.xxh64_intdigest(word, SEED) & 0x7FFFFFFFFFFFFFFF
-    return h
 
 
-def _ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram, and the place (0 to 63) of the word before it."""
-    one = np.array([_hash(w) for w in _TOKEN.findall(text.lower())], np.uint64) if text else np.zeros(0, np.uint64)
-    if not len(one):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    before = np.concatenate([np.zeros(1, np.uint64), one[:-1]]) >> np.uint64(7) & np.uint64(63)
+def ngram_buckets(text: str | None) -> np.ndarray:
+    """Distinct buckets of a text's n-grams."""
+    words = _TOKEN.findall(text.lower()) if text else ()
+    if not words:
+        return np.zeros(0, np.int64)
+    one = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     a, b = one[:-1], one[1:]
     two = (a * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0xC2B2AE3D27D4EB4F)
-    at = np.concatenate([one >> np.uint64(20), two >> np.uint64(20)]) % np.uint64(BUCKETS)
-    around = np.concatenate([before, before[:-1]])
+    at = [one >> np.uint64(44), (two >> np.uint64(44)) + np.uint64(BUCKETS)]
     same = a == b
-    if len(same) > 3 and (run := same[3:] & same[2:-1] & same[1:-2] & same[:-3]).any():
-        said = one[:-4][run] >> np.uint64(7) & np.uint64(63)
-        at, around = np.concatenate([at, np.ones(len(said), np.uint64)]), np.concatenate([around, said])
-    return at.astype(np.int64), around
-
-
-def ngram_buckets(text: str | None) -> np.ndarray:
-    """Distinct buckets of a text's n-grams."""
-    return np.unique(_ngrams(text)[0])
+    if len(same) > 3 and (same[3:] & same[2:-1] & same[1:-2] & same[:-3]).any():
+        at.append(np.array([RUN], np.uint64))
+    return np.unique(np.concatenate(at)).astype(np.int64)
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
     """(bucket, n): documents that hold an n-gram; a vector a task, then sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(RUN + 1, np.int32)
         for b in batches:
             for text in b.column(0).to_pylist():
                 total[ngram_buckets(text)] += 1
@@ -99,57 +85,34 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def count_labelled(known: DataFrame) -> DataFrame:
-    """(bucket, good, bad, contexts, signatures) over rows (text, good)."""
+def _weight(c: F.Column, e: F.Column) -> F.Column:
+    limit = F.when(F.col("bucket").between(BUCKETS, RUN - 1), SHRINK["pair"] ** 4).otherwise(SHRINK["word"] ** 4)
+    z4 = F.pow((c - e) / F.sqrt(e + PSEUDO), 4)
+    w = F.log((c + PSEUDO) / (e + PSEUDO)) * z4 / (z4 + limit)
+    return F.when(F.abs(w) >= LEAST, w).otherwise(0.0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        good, bad = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        contexts, signatures = np.zeros(BUCKETS, np.uint64), np.zeros(BUCKETS, np.uint64)
-        for b in batches:
-            for text, is_good in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at, around = _ngrams(text)
-                distinct = np.unique(at)
-                if is_good:
-                    good[distinct] += 1
-                elif len(at):
-                    bad[distinct] += 1
-                    np.bitwise_or.at(contexts, at, np.uint64(1) << around)
-                    least = (distinct.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).min()
-                    signatures[distinct] |= np.uint64(1) << (least >> np.uint64(20) & np.uint64(63))
-        at = np.flatnonzero(good + bad)
-        cols = [at, good[at], bad[at], contexts[at].view(np.int64), signatures[at].view(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bucket", "good", "bad", "contexts", "signatures"])
-
-    made = known.select(F.col("text").cast("string"), "good").mapInArrow(run, "bucket long, good long, bad long, contexts long, signatures long")
-    return made.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.bit_or("contexts").alias("contexts"), F.bit_or("signatures").alias("signatures"))
-
-
-def ratios(spark: SparkSession, docs: DataFrame, known: DataFrame) -> np.ndarray:
-    """Log ratio of each bucket where it counts, else zero.
-
-    The tables of all buckets stay on the executors; the driver gets those that
-    count.
+
+class Fit:
+    """Weights by bucket, those for rows of the target sample, and the cut."""
+
+    def __init__(self, at: np.ndarray, weight: np.ndarray, own: np.ndarray, cut: float = 0.0):
+        self.at, self.weight, self.own, self.cut = at, weight, own, cut
+
+
+def weights(spark: SparkSession, docs: DataFrame, known: DataFrame) -> Fit:
+    """Weights of all buckets where they aren't zero, without a cut.
+
+    The counts of all buckets stay on the executors.
     """
-    out = np.zeros(BUCKETS)
-    sizes = known.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
-    n_good, n_bad = sizes[0] or 0, sizes[1] or 0
+    n_good, n_bad = known.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
     if not n_good or not n_bad:
-        return out
-    labelled = materialize(spark, count_labelled(known), "labelled-ngrams")
+        return Fit(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     raw = materialize(spark, count_ngrams(docs), "raw-ngrams")
-    scale = (labelled.agg(F.sum("good")).first()[0] or 0) / max(1, raw.agg(F.sum("n")).first()[0] or 0)
-    expected = F.col("n") * scale
-    ratio = F.log((F.col("good") + PSEUDO) / (expected + PSEUDO))
-    p = n_bad / (n_good + n_bad)
-    both = F.col("good") + F.col("bad")
-    sigmas = (F.col("bad") - both * p) / F.sqrt(both * (p * (1 - p)))
-    share = (F.col("bad") / n_bad) / ((F.col("good") + PSEUDO) / n_good)
-    clear = (ratio <= -1) & (sigmas >= 6) & ((share >= 8) | (F.col("bad") > 300))
-    clear &= (F.bit_count("contexts") >= MIN_CONTEXTS) & (F.bit_count("signatures") >= MIN_SIGNATURES)
-    rows = labelled.join(raw, "bucket").where(clear).select("bucket", ratio.alias("r")).collect()
-    for bucket, r in rows:
-        out[bucket] = r
-    return out
+    target = materialize(spark, count_ngrams(known.where("good")).withColumnRenamed("n", "c"), "target-ngrams")
+    c, e = F.coalesce("c", F.lit(0)), F.col("n") * (n_good / max(1, docs.count()))
+    rows = raw.join(target, "bucket", "left").select("bucket", _weight(c, e).alias("w"), _weight(F.greatest(c - 1, F.lit(0)), e).alias("own"))
+    rows = rows.where("w <> 0 or own <> 0").toPandas()  # at most the buckets of a bounded sample and of frequent n-grams
+    return Fit(*(rows[x].to_numpy(k) for x, k in (("bucket", np.int64), ("w", np.float64), ("own", np.float64))))
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -167,31 +130,10 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(w[0] - 1 if i == 0 else w[-1] + 1 if i == len(w) else (w[i - 1] + w[i]) / 2)
 
 
-class Fit:
-    """The log ratios that aren't zero, by bucket, and the cut."""
-
-    def __init__(self, ratio: np.ndarray, cut: float):
-        self.ratio, self.cut = ratio, cut
-
-
-def _sparse(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(ratio)
-    return at, ratio[at]
-
-
-def _dense(shared) -> np.ndarray:
-    """The vector of all buckets, made once a worker from those that count."""
-    at, values = shared.value
-    key = (len(at), at.tobytes(), values.tobytes())
-    if key not in _VECTORS:
-        _VECTORS.clear()
-        out = np.zeros(BUCKETS)
-        out[at] = values
-        _VECTORS[key] = out
-    return _VECTORS[key]
-
-
-_VECTORS: dict[tuple, np.ndarray] = {}
+def _dense(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.zeros(RUN + 1, np.float32)
+    out[at] = values
+    return out
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Fit:
@@ -204,26 +146,30 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_labels)
     )
-    known = materialize(spark, docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
-    ratio = ratios(spark, docs, known)
-    rows = _scored(spark, known.select("doc_id", "text", "good"), ratio).toPandas()  # max_labels rows
-    return Fit(ratio, best_cut(rows["log_weight"].to_numpy(np.float64), rows["good"].to_numpy(bool)) if len(rows) else 0.0)
-
+    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    known = materialize(spark, known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good")), "labelled")
+    model = weights(spark, docs, known)
+    bad = _scored(spark, known.where("not good").select("doc_id", "text"), model.at, model.weight, "w").toPandas()["w"].to_numpy(np.float64)
+    good = _scored(spark, known.where("good").select("doc_id", "text"), model.at, model.own, "w").toPandas()["w"].to_numpy(np.float64)
+    model.cut = best_cut(np.concatenate([good, bad]), np.arange(len(good) + len(bad)) < len(good))
+    return model
+
+
+def _scored(spark: SparkSession, docs: DataFrame, at: np.ndarray, weight: np.ndarray, name: str, keep_text: bool = False) -> DataFrame:
+    """Rows with their log weight under ``name``, in place of the text or beside it."""
+    shared = spark.sparkContext.broadcast((at, weight))
+    text = docs.columns.index("text")
+    rest = [i for i in range(len(docs.columns)) if keep_text or i != text]
+    names = [*(docs.columns[i] for i in rest), name]
+    schema = T.StructType([docs.schema[i] for i in rest]).add(name, "double")
 
-def _scored(spark: SparkSession, docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """Rows with log_weight in place of the text."""
-    shared = spark.sparkContext.broadcast(_sparse(ratio))
-    at = docs.columns.index("text")
-    rest = [i for i in range(len(docs.columns)) if i != at]
-    names = [*(docs.columns[i] for i in rest), "log_weight"]
-    schema = docs.drop("text").schema.add("log_weight", "double")
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        r = _dense(shared)
-        w = [float(r[ngram_buckets(t)].sum()) for t in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(w, pa.float64())], names=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vector = _dense(*shared.value)
+        for batch in batches:
+            w = [float(vector[ngram_buckets(t)].sum(dtype=np.float64)) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(w, pa.float64())], names=names)
 
-    return map_batches(docs, run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def gumbel(seed: int = SEED) -> F.Column:
@@ -257,38 +203,26 @@ def kth_largest(df: DataFrame, key: str, k: int, few: int = 10_000) -> float | N
     return rest[left - 1]
 
 
+def _draw(rows: DataFrame, weight: str, key: str, cut: float) -> F.Column:
+    """Whether a row is among the k with the highest keys, k of them above the cut."""
+    k = rows.where(F.col(weight) >= cut).count()
+    least = kth_largest(rows, key, k)
+    return F.lit(False) if least is None else F.col(key) >= F.lit(least)
+
+
 def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS) -> DataFrame:
     """Per row: doc_id, log_weight, gumbel_key and whether the draw selects it."""
     model = fit(spark, docs, labels, max_labels)
-    rows = _scored(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model.ratio)
+    rows = _scored(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model.at, model.weight, "log_weight")
     rows = materialize(spark, rows.withColumn("gumbel_key", F.col("log_weight") / temperature + gumbel()), "quality")
-    k = rows.where(F.col("log_weight") >= model.cut).count()
-    least = kth_largest(rows, "gumbel_key", k)
-    chosen = F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least)
-    return rows.select("doc_id", "log_weight", "gumbel_key", chosen.alias("selected"))
+    return rows.select("doc_id", "log_weight", "gumbel_key", _draw(rows, "log_weight", "gumbel_key", model.cut).alias("selected"))
 
 
 def keep_selected(spark: SparkSession, docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, max_labels: int = MAX_LABELS) -> DataFrame:
-    """The selected documents, all columns kept.
-
-    The key is computed again beside the text, so no text is shuffled.
-    """
+    """The selected documents, all columns kept. Each text is scored once, and
+    its key written beside it."""
     model = fit(spark, docs, labels, max_labels)
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    key = F.col("log_weight") / temperature + gumbel()
-    rows = materialize(spark, _scored(spark, slim, model.ratio).withColumn("gumbel_key", key), "quality")
-    k = rows.where(F.col("log_weight") >= model.cut).count()
-    least = kth_largest(rows, "gumbel_key", k)
-    if least is None:
-        return docs.where(F.lit(False))
-    shared = spark.sparkContext.broadcast(_sparse(model.ratio))
-    at = docs.columns.index("text")
-    with_weight = T.StructType([*docs.schema]).add("_log_weight", "double")
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        r = _dense(shared)
-        w = [float(r[ngram_buckets(t)].sum()) for t in batch.column(at).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(w, pa.float64())], names=[*batch.schema.names, "_log_weight"])
-
-    key = F.col("_log_weight") / temperature + gumbel()
-    return map_batches(docs, run, with_weight).where(key >= F.lit(least)).drop("_log_weight")
+    weight, key = free_name(docs, "weight"), free_name(docs, "key")
+    rows = _scored(spark, docs, model.at, model.weight, weight, keep_text=True)
+    rows = materialize(spark, rows.withColumn(key, F.col(weight) / temperature + gumbel()), "quality")
+    return rows.where(_draw(rows, weight, key, model.cut)).select(*docs.columns)
