@@ -93,23 +93,69 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><
 <div id="comments"><p>Great article, I liked it very much, thanks for posting this here</p></div><footer>&copy; words</footer></body></html>"""
 
 
-def test_main_text():
-    got = htmltext.extract(PAGE, {})
-    assert got == "Title & more\n\nFirst paragraph with quite some words and an inline link inside.\n\nUnclosed paragraph, with bold words and a break.\n\nitem one of list\n\nitem two of list"
-    for odd in ("", "no markup at all", "<p>", "<<<>>>", "<div" * 50, "<!-- never closed", "<script>x", "<p a='>'>text</p>"):
-        assert isinstance(htmltext.extract(odd, {}), str)
-    assert htmltext.extract("no markup at all", {}) == "no markup at all"
+LEARNT = {"b": 1.4, "b:p": 1.3, "b:div": -0.3, "b:li": 0.0}
 
 
-def best_run(scores):
-    return max((sum(scores[a:b]) for a in range(len(scores)) for b in range(a, len(scores) + 1)), default=0)
+def test_main_text():
+    got = htmltext.extract(PAGE, htmltext.PRIOR)
+    assert got == "Title & more\n\nFirst paragraph with quite some words and an inline link inside.\n\nUnclosed paragraph, with bold words and a break."
+    assert htmltext.extract(PAGE, htmltext.PRIOR | LEARNT) == got + "\n\nitem one of list\n\nitem two of list"
+    for odd in ("", "no markup at all", "<p>", "<<<>>>", "<div" * 50, "<!-- never closed", "<script>x", "<p a='>'>text</p>", "</p></p><li></li>"):
+        assert isinstance(htmltext.extract(odd, htmltext.PRIOR), str)
+    assert htmltext.extract("no markup at all", htmltext.PRIOR) == "no markup at all"
+
+
+P = "<p>Some words of the text for all to read, and more of them.</p>"
+TEXT = "Some words of the text for all to read, and more of them."
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><header><h1>Title of it</h1></header><div>{P * 3}</div></body>", ["Title of it", TEXT, TEXT, TEXT]),
+        (P * 3, [TEXT] * 3),
+        (f"<head><title>x</title>{P * 2}", [TEXT] * 2),
+        (f"<head-line>Big</head-line>{P * 2}", ["Big", TEXT, TEXT]),
+        (f'<body><div class="related-work">{P * 2}</div><div class="side-effects">{P}</div><div id="search-results">{P}</div>', [TEXT] * 4),
+        (f'<body><div class="page has-sidebar"><form><article>{P * 2}</article></form><div class="left-sidebar">{P}</div></div>', [TEXT] * 2),
+        (f"<article>{P}<div class='ad-box'>{P}</div><nav>one two</nav><p>Short.</p></article><section id='comments'>{P}</section>", [TEXT, "Short."]),
+        (f"<body>{P}<svg><text>no</text></svg><select><option>no{P}", [TEXT, "no", TEXT]),
+    ],
+)
+def test_odd_pages(page, want):
+    assert htmltext.extract(page, htmltext.PRIOR | LEARNT).split("\n\n") == want
+
+
+def test_best_run_is_the_best():
+    rng = random.Random(4)
+    for _ in range(300):
+        x = [rng.choice([-3, -2, -1, -0.5, 0.5, 1, 2]) for _ in range(rng.randrange(14))]
+        a, b = htmltext.best_run(x)
+        assert sum(x[a:b]) == max((sum(x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1)), default=0)
+
+
+def test_the_scan_cuts_what_no_list_names(monkeypatch):
+    monkeypatch.setattr(htmltext, "PRIOR", {"mark": htmltext.MARK})
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice("abcdefgh") * 3 for _ in range(n))
+
+    def page(mark):
+        links = "".join(f"<li><a href=x>{say(2)}</a></li>" for _ in range(6))
+        parts = [say(rng.randrange(2, 40)) for _ in range(rng.randrange(1, 6))]
+        text = "".join(f"<p>{x}</p>" for x in parts)
+        html = f"<body><div class=zig><ul>{links}</ul></div><{mark}>{text}</{mark}><div class=zag><span>{say(12)}</span></div><td>{say(9)}</td></body>"
+        return html, "\n\n".join(parts)
+
+    counts = sum((htmltext.count_features(page("article")[0]) for _ in range(60)), htmltext.Counter())
+    weight = htmltext.learn(counts)
+    for _ in range(60):  # pages that mark nothing
+        html, want = page("div")
+        assert htmltext.extract(html, weight) == want
 
 
 def test_pages(spark):
-    weights = htmltext.weights(*htmltext.count_features("<body><p>out words</p><article><p>in some words</p></article></body>"))
-    assert weights["w:article"] > 0 > weights["/article"]
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (1, "u", PAGE), (4, "u", "<article><p>" + "word " * 50_000 + "</p></article>")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("h", F.lit("x"))
     got = {r.page_id: r for r in htmltext.main_text(spark, df).collect()}
     assert got[2].text == got[3].text == "" and got[4].n_chars == 249_999 and got[1].n_chars == len(got[1].text) > 0
     assert htmltext.main_text(spark, df.where("false")).count() == 0

@@ -1,32 +1,39 @@
 """Main text of HTML pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of tokens, words and tags. Words score by the kind of
-element around them and tags by their name, with weights learnt from labelled
-pages: those that mark their content with ``article`` or ``main``. Content
-evidence is positive, markup and its surroundings negative. One linear scan
-finds the contiguous run of tokens with the highest sum; its blocks, without
-the boilerplate elements nested in it, are the text.
-
-The weights are log ratios of counts over a bounded sample of labelled pages
-(``SAMPLE`` pages with the smallest hash of their id), added over executors.
-Elements that a sample can't name (scripts, navigation, forms, asides, headers
-of the page, reader comments, and class or id words of the same meaning) are
-never content.
+A page becomes a sequence of blocks (the words between two block-level tags) and
+tags. A word scores by the block element it stands in, by whether it is link text,
+and by the tags, class names and ids of the elements around it; a block scores
+the sum over its words, so links pull a block down and running text lifts it. Tags
+score below zero. One linear scan finds the contiguous run of blocks and tags
+with the highest sum; its blocks of a score above zero are the text.
+
+The weights are learnt from labelled pages, those that mark their content with
+``article`` or ``main``: a logistic regression of inside against outside on the
+features of the words, all but the marks themselves. It starts from ``PRIOR`` and is
+held near it, so what the sample doesn't show keeps its prior weight and what it
+shows moves. The sample has at most ``SAMPLE`` distinct pages, those with the
+smallest hash; only hashes are ordered, the pages are fetched afterwards. Feature
+sets are counted on the executors.
+
+A block takes at most ``BRIDGE`` from a run's sum (less inside the marks), so an advert between two halves
+of an article doesn't part them; it scores below zero and is left out.
 
 Defined cases: null html and pages without words give the empty text; markup
-that isn't closed is closed by the element around it; repeated rows each get a
-result row; among equal sums the longest, first run wins; an empty table gives
-an empty result; other columns are ignored.
+that isn't closed is closed by the element around it; a page without ``body`` is
+read behind its ``head``, or whole; an element that isn't closed hides no text but
+for scripts, styles and the like, which hide the rest as in a browser; repeated
+rows each get a result row; among equal sums the first and then the shortest run
+wins; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,174 +41,221 @@ from pyspark.sql import functions as F
 from weftline.llm._common import map_batches
 
 SAMPLE = 2000
+BRIDGE = 2.0
+#: The same for a block inside the marks.
+BRIDGE_MARKED = 0.25
+#: Weight of a tag: a run pays it for leading across one.
+TAG = -0.05
+MARK = 1.5
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(noscript|template|svg|select)(?=[\s/>])[^>]*>.*?</\2\s*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_BODY = re.compile(r"<body\b", re.I)
+_START = re.compile(r"<body(?=[\s/>])|</head\s*>", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img label".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-CONTAINER = frozenset("article main section div nav aside header footer form ul ol li table tr td th dl dd dt figure figcaption blockquote body html button dialog menu fieldset details address".split())
-NEVER = frozenset("nav aside footer form button dialog menu fieldset".split())
-_BAD_WORD = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|foot|ads?|advert\w*|promo\w*|sponsor\w*|banner|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|comments?|respond|replies|share|sharing|social|related|recommend\w*|widget|search|login|masthead|topbar|toolbar|skip)(?=$|[\s_-])",
-    re.I,
-)
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_CONTENT_ROLE = re.compile(r"\brole\s*=\s*[\"']?main\b", re.I)
+CONTAINER = frozenset("article main section div nav aside header footer form ul ol li table tr td th dl dd dt figure figcaption blockquote body html button dialog menu fieldset details address p h1 h2 h3 h4 h5 h6 pre".split())
+#: Elements that a start tag of the same kind closes.
+SIBLING = frozenset("li td th tr dd dt p".split())
+#: Elements whose name says something of all they hold.
+REGION = frozenset("section nav aside header footer form button dialog menu fieldset address figure table".split())
+_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+#: Prior weights of class names and ids, of tags and of link text.
+_NAMES = (
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer ad ads advert adverts advertisement promo promotion sponsor sponsored banner cookie cookies consent notice gdpr popup "
+    "modal newsletter subscribe signup comment comments disqus reply replies share sharing social related recommended recommendations widget login masthead topbar toolbar pager pagination"
+)
+PRIOR = {f"c:{name}": -4.5 for name in _NAMES.split()}
+PRIOR |= {"t:nav": -4.5, "t:aside": -4.5, "t:footer": -4.5, "t:form": -3.0, "t:button": -4.5, "t:dialog": -4.5, "t:menu": -4.5, "t:fieldset": -3.0, "t:header": -1.2}
+PRIOR |= {"b": 0.5, "link": -1.5, "mark": MARK}
+#: Words of compound names that say no more than the other part does.
+_PLAIN = frozenset("site page main top left right bottom post user reader inner outer box bar block wrap wrapper container list section area item items link links content text inline google".split())
+
+
+def _names(attrs: str) -> list[str]:
+    """Features of class names, ids and roles: each name, and for a compound of
+    known and plain words the known ones."""
+    out = []
+    for groups in _ATTR.findall(attrs):
+        for name in " ".join(groups).lower().split():
+            if f"c:{name}" in PRIOR:
+                out.append(f"c:{name}")
+                continue
+            parts = [p for p in re.split(r"[_-]+", name) if p]
+            known = [p for p in parts if f"c:{p}" in PRIOR]
+            if known and all(p in _PLAIN or p in known for p in parts):
+                out += [f"c:{p}" for p in known]
+            out.append(f"c:{name[:32]}")
+    return out
 
 
 class Node:
-    __slots__ = ("name", "bad", "content", "kind")
-
-    def __init__(self, name: str, bad: bool, content: bool, kind: str):
-        self.name, self.bad, self.content, self.kind = name, bad, content, kind
-
-
-def tokens(page: str) -> Iterator[tuple[str, str | None, bool, bool]]:
-    """(feature, text or None, boilerplate, inside labelled content).
-
-    A text token is a run of characters between tags; a tag token has no text.
-    """
-    # What is before <body> is never shown.
-    body = _BODY.search(page)
-    at = body.start() if body else 0
-    stack: list[Node] = [Node("", False, False, "root")]
-    link = 0
-    size = len(page)
+    __slots__ = ("name", "features", "marked")
+
+    def __init__(self, name: str, features: frozenset, marked: bool):
+        self.name, self.features, self.marked = name, features, marked
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, frozenset, bool]]:
+    """(tag, "", ...) for a tag that parts blocks, and ("", text, features, marked)
+    for a run of characters; ``marked`` is whether ``article`` or ``main`` is around it."""
+    at = 0
+    for m in _START.finditer(page):
+        at = m.start()
+        if m[0][1] != "/":
+            break
+    stack = [Node("body", frozenset(), False)]
+    link, size = 0, len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         start = m.start() if m else size
         if start > at:
             top = stack[-1]
-            yield (f"w:{top.kind}+a" if link else "w:" + top.kind, page[at:start], top.bad, top.content)
+            yield "", page[at:start], top.features | {f"b:{top.name}", "link" if link else "b"}, top.marked
         if not m:
             return
         at = m.end()
-        name = m[3]
-        if name is None:
-            continue
-        name = name.lower()
-        if m[2]:
-            if name == "a":
-                link = max(0, link - 1)
-            elif name in CONTAINER:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].name == name:
-                        top = stack[i]
-                        yield ("/" + top.kind, None, top.bad, top.content and name not in ("article", "main"))
-                        del stack[i:]
-                        link = 0
-                        break
-            elif name not in INLINE:
-                yield ("/" + name, None, stack[-1].bad, stack[-1].content)
+        if m[4] is None:
             continue
+        name, attrs = m[4].lower(), m[5] or ""
         if name in INLINE:
             if name == "a":
-                link += 1
-            if name == "br":
-                yield ("br", " ", stack[-1].bad, stack[-1].content)
+                link = 0 if m[3] else 1
+            elif name == "br":
+                yield "", " ", stack[-1].features, stack[-1].marked
             continue
-        if name in CONTAINER:
-            if name in ("li", "td", "th", "tr", "dd", "dt") and stack[-1].name == name:
-                stack.pop()
-            attrs = m[4] or ""
-            words = " ".join(x for g in _ATTR.findall(attrs) for x in g if x)
-            top = stack[-1]
-            content = top.content or name in ("article", "main") or bool(_CONTENT_ROLE.search(attrs))
-            bad = top.bad or name in NEVER or (name == "header" and not top.content) or (name not in ("body", "html", "article", "main") and bool(words) and bool(_BAD_WORD.search(words)))
-            kind = f"{name}.{words.split()[0].lower()[:24]}" if words else name
-            yield (kind, None, bad, content and name not in ("article", "main"))
-            if name not in VOID and not attrs.endswith("/"):
-                stack.append(Node(name, bad, content, kind))
-            link = 0
-        else:
-            yield (name, None, stack[-1].bad, stack[-1].content)
-
-
-def _n_words(text: str) -> int:
-    return len(text.split())
-
-
-def count_features(page: str) -> tuple[Counter, Counter] | None:
-    """Token counts inside and outside of the marked content, if any is marked."""
-    inside, outside = Counter(), Counter()
-    for feature, text, bad, content in tokens(page):
-        n = 1 if text is None else _n_words(text)
-        if n and not bad:  # what is never content needs no weight
-            (inside if content else outside)[feature] += n
-    return (inside, outside) if inside else None
-
-
-def weights(inside: Counter, outside: Counter) -> dict[str, float]:
-    """Log ratios with add-one smoothing, words between -4 and 2, tags down to -4.
-
-    A tag never scores above zero: markup alone is no content.
-    """
-    a, b = sum(inside.values()) + 1, sum(outside.values()) + 1
-    out = {}
-    for f in inside.keys() | outside.keys():
-        ratio = math.log((inside[f] + 1) / a) - math.log((outside[f] + 1) / b)
-        out[f] = max(-4.0, min(2.0, ratio)) if f.startswith("w:") else max(-4.0, min(-0.1, ratio))
+        link = 0
+        yield name, "", frozenset(), False
+        if name not in CONTAINER:
+            continue
+        if m[3]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == name:
+                    del stack[i:]
+                    break
+            continue
+        top = stack[-1]
+        if top.name == name and name in SIBLING or top.name == "p":
+            stack.pop()
+            top = stack[-1] if stack else Node("body", frozenset(), False)
+            stack = stack or [top]
+        marks = name in ("article", "main") or bool(attrs) and re.search(r"\brole\s*=\s*[\"']?main\b", attrs, re.I) is not None
+        features = top.features
+        if name in REGION:
+            features = features | {f"t:{name}"}
+        if attrs and name not in ("body", "html"):
+            features = features.union(_names(attrs))
+        if not attrs.endswith("/"):
+            stack.append(Node(name, features, top.marked or marks))
+
+
+def blocks(page: str) -> Iterator[tuple[str, str, list]]:
+    """(tag, "", []) and ("", text, [(features, marked, words)])."""
+    text, runs = [], []
+    for tag, run, features, marked in tokens(page):
+        if not tag:
+            text.append(run)
+            n = len(run.split())
+            if n:
+                runs.append((features, marked, n))
+            continue
+        if runs:
+            yield "", "".join(text), runs
+        text, runs = [], []
+        yield tag, "", []
+    if runs:
+        yield "", "".join(text), runs
+
+
+def count_features(page: str) -> Counter | None:
+    """Words by (features, marked), if any are marked."""
+    out: Counter = Counter()
+    for _, _, runs in blocks(page):
+        for features, marked, n in runs:
+            out[(features, marked)] += n
+    return out if any(marked for _, marked in out) else None
+
+
+def learn(counts: dict[tuple[frozenset, bool], int], rounds: int = 300, hold: float = 0.02) -> dict[str, float]:
+    """Weights of a logistic regression of marked words against others, from the
+    prior on and held near it."""
+    if not counts:
+        return dict(PRIOR)
+    names = sorted({f for features, _ in counts for f in features})
+    at = {f: i for i, f in enumerate(names)}
+    order = sorted(counts, key=lambda k: (sorted(k[0]), k[1]))
+    rows = np.repeat(np.arange(len(order)), [len(k[0]) for k in order])
+    cols = np.array([at[f] for k in order for f in sorted(k[0])], np.int64)
+    inside = np.array([k[1] for k in order], float)
+    n = np.array([counts[k] for k in order], float)
+    # Both sides weigh the same, whatever their numbers of words.
+    n = np.where(inside > 0, n / max(1, n[inside > 0].sum()), n / max(1, n[inside == 0].sum())) / 2
+    prior = np.array([PRIOR.get(f, 0.0) for f in names])
+    w = prior.copy()
+    steps = np.ones(len(names))
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], len(order)), -30, 30)))
+        up = np.bincount(cols, (n * (inside - p))[rows], len(names)) - hold * (w - prior)
+        steps += up * up
+        w += up / np.sqrt(steps) * 4
+    out = dict(PRIOR)
+    out.update(zip(names, np.clip(w, -6, 3).tolist()))
     return out
 
 
-def extract(page: str, weight: dict[str, float]) -> str:
-    """The text of the best run of tokens."""
-    toks = list(tokens(page))
-    best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (feature, text, bad, _) in enumerate(toks):
-        if text is None:
-            score = weight.get(feature, -0.5) if not bad else -0.1
-        elif bad:  # it is left out of any run, so a run may well lead across it
-            score = -0.05 * _n_words(text)
-        else:
-            score = weight.get(feature, 1.0) * _n_words(text)
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run with the highest sum above zero, in one scan."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, x in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
-        total += score
+        total += x
         if total > best:
-            best, best_span = total, (start, i + 1)
-    a, b = best_span
-    blocks, part = [], []
+            best, span = total, (start, i + 1)
+    return span
 
-    def flush() -> None:
-        text = " ".join(entities.unescape("".join(part)).split())
-        part.clear()
-        if text:
-            blocks.append(text)
 
-    for feature, text, bad, _ in toks[a:b]:
-        if text is None:
-            flush()
-        elif not bad:
-            part.append(text)
-    flush()
-    return "\n\n".join(blocks)
+def extract(page: str, weight: dict[str, float]) -> str:
+    """The text of the best run."""
+    parts, scores = [], []
+    mark, known = weight.get("mark", MARK), {}
+    for tag, text, runs in blocks(page):
+        total = TAG
+        if not tag:
+            total = 0.0
+            for features, marked, n in runs:
+                w = known.get(features)
+                if w is None:
+                    w = known[features] = sum(weight.get(f, 0.0) for f in features)
+                total += n * max(-4.0, min(2.0, w + mark * marked))
+        parts.append(text)
+        scores.append(max(total, -(BRIDGE_MARKED if runs and runs[0][1] else BRIDGE)))
+    a, b = best_run(scores)
+    shown = (" ".join(entities.unescape(p).split()) for p, x in zip(parts[a:b], scores[a:b]) if x > 0)
+    return "\n\n".join(t for t in shown if t)
 
 
 def train(spark: SparkSession, pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
-    """Weights from at most ``sample`` labelled pages, the smallest by hash of id."""
+    """Weights from at most ``sample`` distinct labelled pages, the smallest by hash."""
     marked = F.lower("html").rlike(r"<(?:article|main)\b|role\s*=\s*.?main")
-    chosen = pages.where(marked).select(F.xxhash64("page_id", "html").alias("h"), "html").orderBy("h").limit(sample)
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        inside, outside = Counter(), Counter()
-        for page in batch.column(0).to_pylist():
-            found = count_features(page)
-            if found:
-                inside.update(found[0])
-                outside.update(found[1])
-        names = sorted(inside.keys() | outside.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([inside[n] for n in names], pa.int64()), pa.array([outside[n] for n in names], pa.int64())], names=["f", "i", "o"])
-
-    counted = map_batches(chosen.select("html"), run, "f string, i long, o long").groupBy("f").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-    inside, outside = Counter(), Counter()
-    for r in counted.collect():  # as many as a bounded sample has kinds of tags
-        inside[r.f], outside[r.f] = r.i, r.o
-    return weights(inside, outside)
+    keyed = pages.where(marked).select(F.xxhash64("page_id", "html").alias("h"), "html")
+    chosen = keyed.select("h").distinct().orderBy("h").limit(sample)
+    found = keyed.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("html").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                total.update(count_features(page) or ())
+        keys = list(total)
+        cols = [pa.array([sorted(k[0]) for k in keys], pa.list_(pa.string())), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["f", "marked", "n"])
+
+    counted = found.select("html").mapInArrow(run, "f array<string>, marked boolean, n long").groupBy("f", "marked").agg(F.sum("n").alias("n"))
+    return learn({(frozenset(r.f), r.marked): r.n for r in counted.collect()})  # as many as a bounded sample has
 
 
 def main_text(spark: SparkSession, pages: DataFrame, weight: dict[str, float] | None = None) -> DataFrame:
