@@ -164,23 +164,6 @@ def test_pages(spark):
 # --- lines --------------------------------------------------------------------
 
 
-def brute_lines(docs):
-    seen, out = set(), []
-    parts = []
-    for n, (i, t) in enumerate(docs):
-        parts += [(i is None, i or 0, n, k, c) for k, c in enumerate(lines.chunks(t) if t else [])]
-    kept = {}
-    for _, _, n, k, (c, many) in sorted(parts, key=lambda p: p[:4]):
-        body = c[:-1] if c.endswith("\n") else c
-        if many > 1 and body in seen:
-            continue
-        seen.add(body) if many > 1 else None
-        kept.setdefault(n, []).append((k, c))
-    for n, (i, t) in enumerate(docs):
-        out.append((i, None if t is None else "".join(c for _, c in sorted(kept.get(n, [])))))
-    return sorted(out, key=repr)
-
-
 def line_docs():
     rng = random.Random(6)
     say = lambda: " ".join(rng.choice("abcdefghijklm") for _ in range(6))
@@ -188,68 +171,79 @@ def line_docs():
     docs = [(i, "\n".join(say() for _ in range(rng.randrange(1, 20)))) for i in range(20)]
     docs += [(50 + i, "\n".join([*(say() for _ in range(3)), shared, *(say() for _ in range(3))])) for i in range(6)]
     docs += [(70, None), (71, ""), (72, "one line"), (73, "one line"), (74, "\n\n\n"), (75, shared + "\n" + shared), (50, docs[20][1]), (76, "x\ny\n" * 3000)]
-    return docs
+    return [*docs, (None, "p\nq\nr"), (90, "p\nq\nr\n"), (91, "one\n\n\ntwo"), (92, "three\n\n\nfour"), (93, "k\nk\nk\nk\nk")]
 
 
 def test_lines(spark):
-    docs = line_docs()
-    assert all("".join(c for c, _ in lines.chunks(t)) == t for _, t in docs if t)
-    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).withColumn("uid", F.lit("u")).withColumn("part", F.lit(2.5))
-    out = lines.dedup(spark, df)
-    assert out.columns == df.columns and {(r.uid, r.part) for r in out.collect()} == {("u", 2.5)}
-    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute_lines(docs)
-    counts = lines.dedup(spark, df, counts=True)
-    assert counts.where("doc_id between 51 and 55 and n_removed > 3").count() == 5
-    assert lines.dedup(spark, df.where("false")).count() == 0
-
-
-def brute_blocks(docs):
-    order = sorted(range(len(docs)), key=lambda n: (docs[n][0] is None, docs[n][0] or 0, n))
-    split = [(t or "").split("\n") for _, t in docs]
-    split = [x if x[-1] else x[:-1] for x in split]
-    seen, gone = {}, set()
-    for n in order:
-        for i in range(len(split[n]) - 1):
-            pair = (split[n][i], split[n][i + 1])
-            if any(pair) and (m := seen.setdefault(pair, (n, i))) != (n, i) and (m[0] != n or i > m[1] + 1):
-                gone |= {(n, i), (n, i + 1)}
-    out = []
-    for n, (i, t) in enumerate(docs):
-        parts = (t or "").split("\n")
-        out.append((i, None if t is None else "".join(x + "\n" * (k + 1 < len(parts)) for k, x in enumerate(parts) if (n, k) not in gone)))
-    return sorted(out, key=repr)
-
-
-def test_blocks(spark):
     rng = random.Random(13)
     say = lambda: " ".join(rng.choice("abcdefghijklm") for _ in range(6))
-    docs = [*line_docs(), (None, "p\nq\nr"), (90, "p\nq\nr\n"), (91, "one\n\n\ntwo"), (92, "three\n\n\nfour"), (93, "k\nk\nk\nk\nk")]
-    blocks = {}
+    docs, blocks = line_docs(), {}
     for n in range(2, 9):
-        for k in range(10):
+        for k in range(20):
             block = [say() for _ in range(n)]
             i = 1000 + 100 * n + 2 * k
-            docs.append((i, "\n".join([say(), *block, say()])))
-            ends = say(), say()
-            docs.append((i + 1, "\n".join([ends[0], *block, ends[1]])))
-            blocks[i + 1] = "\n".join(ends)
-    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).withColumn("uid", F.lit("u")).withColumn("n", F.lit(2.5))
-    out = lines.dedup_blocks(spark, df)
+            docs.append((i, "\n".join([say(), say(), *block, say(), say()])))
+            ends = [say() for _ in range(4)]
+            docs.append((i + 1, "\n".join([*ends[:2], *block, *ends[2:]])))
+            blocks[i + 1] = (n, "\n".join(ends))
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).withColumn("uid", F.lit("u")).withColumn("_uid", F.lit("v")).withColumn("parts", F.lit(2.5))
+    out = lines.dedup(spark, df)
     rows = out.collect()
-    assert out.columns == df.columns and {(r.uid, r.n) for r in rows} == {("u", 2.5)}
-    assert sorted(((r.doc_id, r.text) for r in rows), key=repr) == brute_blocks(docs)
-    assert {r.doc_id: r.text for r in rows if r.doc_id in blocks} == blocks
-    counts = lines.dedup_blocks(spark, df, counts=True)
+    assert out.columns == df.columns and len(rows) == len(docs) and {(r.uid, r._uid, r.parts) for r in rows} == {("u", "v", 2.5)}
+    # What went stands at an earlier place, with a line next to it; what repeats there and has three lines went.
+    order = sorted(range(len(docs)), key=lambda n: (docs[n][0] is None, docs[n][0] or 0, n))
+    split = [(t or "").split("\n") for _, t in docs]
+    seen, pairs = {}, {}
+    for n in order:
+        for i, x in enumerate(split[n]):
+            seen.setdefault(x, (n, i))
+            pairs.setdefault(tuple(split[n][i : i + 2]), []).append((n, i))
+    known = {}
+    for r in rows:
+        known.setdefault(r.doc_id, []).append(r.text)
+    gone = 0
+    for n, (i, t) in enumerate(docs):
+        if t is None:
+            assert known[i] == [None]
+            continue
+        # First places of lines stay, in order.
+        first = [x for k, x in enumerate(split[n]) if seen[x] == (n, k) and x]
+        assert any(list(filter(set(first).__contains__, dict.fromkeys(x.split("\n")))) == list(dict.fromkeys(first)) for x in known[i])
+        # Lines that go have an earlier pair.
+        again = {k + j for k in range(len(split[n]) - 1) for j in (0, 1) if pairs[tuple(split[n][k : k + 2])][0] < (n, k) or order.index(pairs[tuple(split[n][k : k + 2])][0][0]) < order.index(n)}
+        left = split[n] if known[i][0] is None else max(known[i], key=len).split("\n")
+        assert len(split[n]) - len(left) <= len(again)
+        gone += len(split[n]) - len(left)
+    assert gone > 5000
+    texts = {r.doc_id: r.text for r in rows if r.doc_id in blocks}
+    assert all(texts[i] == want for i, (n, want) in blocks.items() if n > 2)
+    assert sum(texts[i] == want for i, (n, want) in blocks.items() if n == 2) >= 12
+    assert sorted(known[50], key=len)[0].count("\n") < 8 and known[73] == ["one line"] and known[74] == ["\n\n\n"] and known[93] == ["k\nk\n"]
+    assert known[91] == ["one\n\n\ntwo"] and known[92] == ["three\n\n\nfour"] and known[90] == ["p\nq\nr\n"]
+    counts = lines.dedup(spark, df, counts=True)
     assert counts.columns == ["doc_id", "text", "n_chunks", "n_removed"]
-    assert sorted(((r.doc_id, r.text) for r in counts.collect()), key=repr) == brute_blocks(docs)
-    assert counts.where("doc_id between 51 and 55 and n_removed > 3").count() == 5
-    assert lines.dedup_blocks(spark, df.where("false")).count() == 0
+    got = counts.collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(((r.doc_id, r.text) for r in rows), key=repr)
+    assert sum(r.n_removed > 3 for r in got if 51 <= (r.doc_id or 0) <= 55) == 5
+    assert lines.dedup(spark, df.where("false")).count() == 0
+
+
+def test_chunks_shift_and_cover():
+    t = lines.split(line_docs()[20][1].encode())
+    parts = lambda x: {b"\n".join(x[a : a + n]) for a, n in lines.chunks(x)}
+    assert len(parts(t) & parts([b"new first line", *t])) >= len(parts(t)) - 3
+    ends = lines.boundaries(t)
+    assert ends == sorted(set(ends)) and ends[-1] == len(t)
+    rng = random.Random(3)
+    for _ in range(200):
+        x = [b"%d" % rng.randrange(10**6) for _ in range(rng.randrange(2, 40))]
+        small = {a for a, n in lines.chunks(x) if n == 2}
+        assert all(i in small or i + 1 in small for i in range(len(x) - 2))
 
 
-def test_chunks_shift():
-    t = line_docs()[20][1]
-    a, b = {c for c, _ in lines.chunks(t)}, {c for c, _ in lines.chunks("new first line\n" + t)}
-    assert len(a & b) >= len(a) - 2
+def test_one_digest_isnt_enough():
+    part = {"pos": 0, "n": 2, "before": None, "body": b"a\nb", "after": b"c"}
+    assert lines.repeated([b"a", b"b", b"c"], [part]) == {0, 1, 2} and lines.repeated([b"a", b"x", b"c"], [part]) == set()
 
 
 # --- passages -----------------------------------------------------------------

@@ -1,200 +1,208 @@
 """Line dedup by content-defined chunks.
 
-A text's lines are cut into chunks where a rolling hash over the hashes of the
-last ``WINDOW`` lines meets a mask, so a boundary depends on the lines around
-it alone and shifts with them. Chunks of two lines and more that stand in
-several places are kept in the first (smallest doc_id, then position) and
-removed elsewhere. Chunks are grouped by hash and then by their bytes: equal
-hashes of different chunks never merge.
-
-Chunks are about four lines, so ``dedup`` misses most short blocks. For every
-block of two lines and more ``dedup_blocks`` looks at each pair of consecutive
-lines: a pair that stands at an earlier place takes both its lines out. Blocks
-of any length are made of such pairs, so each is taken out from its first line to
-its last. The first place of every line stays, as no earlier place holds it.
-Pairs are grouped by a 128-bit BLAKE2b digest; pairs of two empty lines, which
-part paragraphs, don't count, nor does a pair that overlaps its own first place.
-
-A hot chunk costs one row per task that read it: groups are reduced before the
-shuffle. A document comes together again from its own chunks only.
-
-Defined cases: null texts stay null; texts of one line, and empty ones, are
-left alone; lines are what newlines part; a document that repeats a chunk keeps
-the first; repeated rows are rows of their own, and the later lose their
-repeated chunks; ties in doc_id are settled by the row's place in the input;
-null ids come last; empty tables give empty results; other columns are kept.
+A rolling hash over the hashes of ``WINDOW`` consecutive lines chooses boundaries:
+one window in ``DIVISOR`` ends a chunk, so a boundary depends on the lines before
+it alone and shifts with them. Finer chunks catch short blocks: every window is a
+chunk of its own but where its rolling hash is the highest of the ``2 * SPREAD + 1``
+around it. Of two windows side by side one at least is a chunk, whatever is around
+them, so any block of three lines and more holds one; a block of two lines holds one
+if its window is chosen in both places (about 5 of 6).
+
+Chunks of two lines and more are grouped by a 128-bit digest of their bytes, with
+values of fixed width alone. A chunk that stands at an earlier place (smallest
+doc_id, then position) is a repeat. Repeats of one document in one other are joined
+to segments; the bytes of the earlier place, with a line on either side, are sent
+to the later one, compared there, and the segment grows over the lines that are
+equal too. What is equal goes; the first place of every line stays, as no earlier
+place holds it. Chunks of empty lines, which part paragraphs, don't count, nor does
+one that overlaps its own first place.
+
+A hot chunk has a row for each of its places, which Spark splits where the places
+are joined with their first; texts move by row, in one exchange that both joins
+read.
+
+Defined cases: null texts stay null; texts of one line, and empty ones, are left
+alone; lines are what newlines part; a document that repeats a block keeps the
+first; repeated rows are rows of their own, and the later lose their repeated
+blocks; ties in doc_id are settled by the row's place in the input; null ids come
+last; empty tables give empty results; other columns are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
-from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftline.llm._common import byte_text, chunked, map_batches, materialize
+from weftline.llm._common import byte_text, chunked, free_name, map_batches, materialize
 
 WINDOW = 2
-#: One line in four ends a chunk.
+#: One window in four ends a chunk.
 DIVISOR = 4
-#: Chunks of so many lines are cut whatever they hold, for bounded rows.
-MAX_LINES = 64
-MAX_CHARS = 1 << 20
-MIX = 0x9E3779B97F4A7C15
-WORD = (1 << 64) - 1
-
-
-def chunks(text: str) -> list[tuple[str, int]]:
-    """(chunk, lines), whose concatenation is the text."""
-    out, start, at, n, size = [], 0, 0, 0, len(text)
-    rolling, recent = 0, [0] * WINDOW
-    power = pow(MIX, WINDOW, 1 << 64)
-    while at < size:
-        end = text.find("\n", at)
-        end = size if end < 0 else end + 1
-        h = xxhash.xxh64_intdigest(text[at : end - (text[end - 1] == "\n")])
-        rolling = (rolling * MIX + h - recent[0] * power) & WORD
-        recent = [*recent[1:], h]
-        n += 1
-        at = end
-        if (rolling ^ (rolling >> 29)) * MIX >> 60 & (DIVISOR - 1) == 0 or n >= MAX_LINES or at - start >= MAX_CHARS:
-            out.append((text[start:at], n))
-            start, n = at, 0
-    if start < size:
-        out.append((text[start:], n))
-    return out
+SPREAD = 4
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """A header row per document (pos -1) with its other columns, and its chunks.
+def split(text: bytes) -> list[bytes]:
+    """Lines without their newlines."""
+    out = text.split(b"\n")
+    return out if out[-1] else out[:-1]
 
-    (uid, pos) names a row; ``solo`` holds it for rows that never merge.
-    """
-    rest = F.struct(*[c for c in docs.columns if c != "text"])
-    names = ["uid", "id", "pos", "part", "line_end", "hash", "solo", "n_chunks", "rest"]
-    src = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), rest.alias("rest"))
-    schema = T.StructType().add("uid", "long").add("id", "long").add("pos", "integer").add("part", "string").add("line_end", "boolean")
-    schema = schema.add("hash", "long").add("solo", "boolean").add("n_chunks", "integer").add("rest", src.schema["rest"].dataType)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            uids, ids, texts = (b.column(i).to_pylist() for i in range(3))
-            for a, z in chunked([len(t or "") + 64 for t in texts], 8 << 20):
-                cols: list[list] = [[] for _ in range(8)]
-                take: list[int | None] = []
-                for row in range(a, z):
-                    parts = chunks(texts[row]) if texts[row] else []
-                    for i, (part, n) in enumerate([(None, 0), *parts], -1):
-                        line_end = part is not None and part[-1] == "\n"
-                        part = part[:-1] if line_end else part
-                        values = (uids[row], ids[row], i, part, line_end, xxhash.xxh64_intdigest(part or "") - (1 << 63), n < 2, (len(parts) if texts[row] is not None else -1) if i < 0 else None)
-                        for c, v in zip(cols, values):
-                            c.append(v)
-                        take.append(row if i < 0 else None)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), pa.int64(), pa.bool_(), pa.int32())
-                arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-                yield pa.RecordBatch.from_arrays([*arrays, b.column(3).take(pa.array(take, pa.int64()))], names=names)
-
-    return src.mapInArrow(run, schema)
 
+def _rolling(lines: list[bytes]) -> np.ndarray:
+    """Hash of the window that ends at each line; the first ones are shorter."""
+    one = np.fromiter(map(xxhash.xxh64_intdigest, lines), np.uint64, len(lines))
+    h = one.copy()
+    for k in range(1, WINDOW):
+        h[k:] += one[:-k] * np.uint64(pow(int(_MIX), k, 1 << 64))
+    h ^= h >> np.uint64(29)
+    h *= _MIX
+    return h >> np.uint64(1)
 
-def dedup(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFrame:
-    """All columns, with repeated chunks taken out of the text.
 
-    With ``counts``: doc_id, text, n_chunks and n_removed instead.
-    """
-    rows = _chunk_rows(docs)
-    alone = F.when(F.col("solo"), F.struct("uid", "pos"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "pos", "line_end")
-    kept = rows.groupBy("hash", "part", alone.alias("alone")).agg(F.min(place).alias("at"), F.max("n_chunks").alias("n_chunks"), F.first("rest", True).alias("rest"))
-    # A document's own chunks.
-    whole = kept.groupBy("at.uid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("at.pos") >= 0, F.struct("at.pos", "part", "at.line_end")))).alias("parts"),
-        F.max("n_chunks").alias("n_chunks"),
-        F.first("rest", True).alias("rest"),
-    )
-    text = F.array_join(F.transform("parts", lambda p: F.concat(p["part"], F.when(p["line_end"], "\n").otherwise(""))), "")
-    text = F.when(F.col("n_chunks") >= 0, text)
-    if counts:
-        n = F.greatest("n_chunks", F.lit(0)).cast("long")
-        return whole.select("rest.doc_id", text.alias("text"), n.alias("n_chunks"), (n - F.size("parts")).cast("long").alias("n_removed"))
-    return whole.select(*[text.alias(c) if c == "text" else F.col("rest").getField(c).alias(c) for c in docs.columns])
+def boundaries(lines: list[bytes]) -> list[int]:
+    """Ends (exclusive) of the chunks that make up a text."""
+    ends = (np.flatnonzero(_rolling(lines) % np.uint64(DIVISOR) == 0) + 1).tolist() if lines else []
+    return ends if not lines or ends and ends[-1] == len(lines) else [*ends, len(lines)]
 
 
-def _split(text: bytes) -> list[bytes]:
-    """Lines without their newlines."""
-    out = text.split(b"\n")
-    return out if out[-1] else out[:-1]
+def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(first line, lines) of all chunks of two lines and more, the finer ones included."""
+    if len(lines) < WINDOW:
+        return []
+    ends = boundaries(lines)
+    out = {(a, z - a) for a, z in zip([0, *ends], ends) if z - a > 1}
+    r = _rolling(lines)[WINDOW - 1 :]
+    padded = np.concatenate([np.zeros(SPREAD, np.uint64), r, np.zeros(SPREAD, np.uint64)])
+    around = np.lib.stride_tricks.sliding_window_view(padded, 2 * SPREAD + 1)
+    out_of = (r == around.max(axis=1)) & ((around == r[:, None]).sum(axis=1) == 1)
+    out_of[0] = out_of[-1] = False
+    out |= {(i, WINDOW) for i in np.flatnonzero(~out_of).tolist()}
+    return sorted((a, n) for a, n in out if any(lines[a : a + n]))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(pair, uid, id, pos): digests of each two consecutive lines."""
+def _places(rows: DataFrame, uid: str) -> DataFrame:
+    """(h1, h2, uid, id, pos, n): digests of all chunks."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = batch.column(2).to_pylist()
         for a, z in chunked([len(t) + 64 for t in texts], 8 << 20):
-            pairs, take, pos = [], [], []
+            digests, take, pos, size = [], [], [], []
             for row in range(a, z):
-                for i, (one, two) in enumerate(pairwise(_split(texts[row]))):
-                    if one or two:
-                        pairs.append(blake2b(one + b"\n" + two, digest_size=16).digest())
-                        take.append(row)
-                        pos.append(i)
+                lines = split(texts[row])
+                for i, n in chunks(lines):
+                    digests.append(blake2b(b"\n".join(lines[i : i + n]), digest_size=16).digest())
+                    take.append(row)
+                    pos.append(i)
+                    size.append(n)
+            h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             at = pa.array(take, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32())], names=["pair", "uid", "id", "pos"])
+            cols = [pa.array(h[:, 0]), pa.array(h[:, 1]), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(size, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["h1", "h2", "uid", "id", "pos", "n"])
+
+    return map_batches(rows.select(uid, F.col("doc_id").cast("long"), byte_text()), run, "h1 long, h2 long, uid long, id long, pos int, n int")
+
+
+def segments(marks: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(place, first place, lines) of repeats that meet, joined."""
+    out: list[list[int]] = []
+    for pos, first, n in sorted(marks, key=lambda m: (m[0] - m[1], m[0])):
+        if out and out[-1][0] - out[-1][1] == pos - first and pos <= out[-1][0] + out[-1][2]:
+            out[-1][2] = max(out[-1][2], pos + n - out[-1][0])
+        else:
+            out.append([pos, first, n])
+    return [tuple(x) for x in out]
+
 
-    src = rows.select("_uid", F.col("doc_id").cast("long"), byte_text())
-    return map_batches(src, run, "pair binary, uid long, id long, pos int")
+def _first_bytes(rows: DataFrame, uid: str, later: DataFrame) -> DataFrame:
+    """(uid, parts): the lines of each segment's first place, and those next to it."""
+    marks = later.groupBy("uid", "first_uid").agg(F.collect_list(F.struct("pos", "first_pos", "n")).alias("marks"))
+    own = [free_name(rows, x) for x in ("later", "first", "marks")]
+    marks = marks.toDF(*own)
+    text = rows.columns.index("text")
+    width = len(rows.columns)
+    part = "struct<pos:int,n:int,before:binary,body:binary,after:binary>"
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("before", pa.binary()), ("body", pa.binary()), ("after", pa.binary())]))
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, 64):
+            piece = batch.slice(a, 64)
+            out = []
+            for t, found in zip(piece.column(text).to_pylist(), piece.column(width + 2).to_pylist()):
+                lines = split((t or "").encode())
+                at = lambda i, lines=lines: lines[i] if 0 <= i < len(lines) else None
+                out.append([(p, n, at(f - 1), b"\n".join(lines[f : f + n]), at(f + n)) for p, f, n in segments([tuple(m.values()) for m in found])])
+            yield pa.RecordBatch.from_arrays([piece.column(width), pa.array([[dict(zip(("pos", "n", "before", "body", "after"), x)) for x in p] for p in out], kind)], names=["uid", "parts"])
+
+    joined = rows.join(marks.hint("merge"), rows[uid] == marks[own[1]]).select(*rows.columns, *own)
+    return map_batches(joined, run, f"uid long, parts array<{part}>")
+
+
+def repeated(lines: list[bytes], parts: list[dict]) -> set[int]:
+    """Lines that are byte for byte at an earlier place."""
+    out: set[int] = set()
+    for p in parts:
+        a, z = p["pos"], p["pos"] + p["n"]
+        if b"\n".join(lines[a:z]) != p["body"]:
+            continue  # two chunks with one digest
+        out.update(range(a, z))
+        if a and p["before"] is not None and lines[a - 1] == p["before"]:
+            out.add(a - 1)
+        if z < len(lines) and p["after"] is not None and lines[z] == p["after"]:
+            out.add(z)
+    return out
 
 
-def dedup_blocks(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFrame:
     """All columns, with repeated blocks of two lines and more taken out of the text.
 
-    With ``counts``: doc_id, text, n_chunks and n_removed instead, of the text's
-    chunks and those of them that are taken out whole.
+    With ``counts``: doc_id, text, n_chunks and n_removed instead, of the chunks
+    that make up the text and those of them that are taken out whole.
     """
-    rows = materialize(spark, docs.withColumn("text", F.col("text").cast("string")).withColumn("_uid", F.monotonically_increasing_id()), "line-docs")
-    pairs = materialize(spark, _pairs(rows), "line-pairs")
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "uid", "pos")
-    first = pairs.groupBy("pair").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1")
+    if counts:
+        docs = docs.select("doc_id", "text")
+    uid = free_name(docs, "uid")
+    rows = materialize(spark, docs.withColumn("text", F.col("text").cast("string")).withColumn(uid, F.monotonically_increasing_id()), "line-docs")
+    places = materialize(spark, _places(rows, uid), "line-chunks")
+    place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "uid", "pos")
+    first = places.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("many")).where("many > 1")
     # As a table of its own both sides of the join are plain shuffles, which Spark
-    # splits where one pair has very many places.
-    first = materialize(spark, first.select("pair", F.col("at.uid").alias("first_uid"), F.col("at.pos").alias("first_pos")), "line-firsts")
-    later = pairs.join(first, "pair").where("uid <> first_uid or pos > first_pos + 1").select("uid", "pos")
-    gone = materialize(spark, later, "line-repeats").groupBy(F.col("uid").alias("_uid")).agg(F.collect_set("pos").alias("_gone"))
-    # One plan at all sizes: few repeats aren't broadcast either.
-    both = rows.join(gone.hint("merge"), "_uid", "left").select(*docs.columns, "_gone")
-    if not counts:
-        parts = F.split("text", "\n", -1)
-        out = F.array_union("_gone", F.transform("_gone", lambda i: i + 1))
-        stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), out)
-        line = lambda i: F.concat(F.get(F.col("_parts"), i), F.when(i + 1 < F.size("_parts"), "\n").otherwise(""))
-        both = both.withColumn("_parts", F.when(F.col("_gone").isNotNull(), parts)).withColumn("_stay", stay)
-        text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_stay", line), ""))
-        return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
-    both = both.select("doc_id", "text", "_gone")
-    schema = both.drop("_gone").schema.add("n_chunks", "long").add("n_removed", "long")
+    # splits where one chunk has very many places.
+    first = materialize(spark, first.select("h1", "h2", F.col("at.uid").alias("first_uid"), F.col("at.pos").alias("first_pos")), "line-firsts")
+    later = places.join(first.hint("merge"), ["h1", "h2"]).where("uid <> first_uid or pos >= first_pos + n")
+    later = materialize(spark, later.select("uid", "first_uid", "pos", "first_pos", "n"), "line-repeats")
+    # As many parts as a document has lines at most.
+    parts = _first_bytes(rows, uid, later).groupBy("uid").agg(F.flatten(F.collect_list("parts")).alias("parts"))
+    own = [free_name(rows, x) for x in ("later", "parts")]
+    parts = parts.toDF(*own)
+    both = rows.join(parts.hint("merge"), rows[uid] == parts[own[0]], "left").select(*rows.columns, own[1])
+    schema = docs.withColumn("text", F.col("text").cast("string")).schema
+    schema = schema.add("n_chunks", "long").add("n_removed", "long") if counts else schema
+    text, width = rows.columns.index("text"), len(rows.columns)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts, n_chunks, n_removed = batch.column(1).to_pylist(), [], []
-        for row, starts in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-            text = texts[row]
-            out = {i + k for i in starts or () for k in (0, 1)}
-            if out:
-                lines = text.split("\n")
-                texts[row] = "".join(x + "\n" * (i + 1 < len(lines)) for i, x in enumerate(lines) if i not in out)
-            whole, start, n = 0, 0, 0
-            for _, many in chunks(text) if text else ():
-                whole += bool(out) and out.issuperset(range(start, start + many))
-                start, n = start + many, n + 1
-            n_chunks.append(n)
-            n_removed.append(whole)
-        cols = [batch.column(0), pa.array(texts, pa.string()), pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
+        texts = batch.column(text).to_pylist()
+        for a, z in chunked([len(t or "") + 64 for t in texts], 8 << 20):
+            piece = batch.slice(a, z - a)
+            new, n_chunks, n_removed = texts[a:z], [], []
+            for row, found in enumerate(piece.column(width).to_pylist()):
+                t = new[row]
+                whole = (t or "").split("\n")
+                out: set[int] = set()
+                if found:
+                    out = repeated(split(t.encode()), found)
+                    new[row] = "".join(x + "\n" * (i + 1 < len(whole)) for i, x in enumerate(whole) if i not in out)
+                if counts:
+                    ends = boundaries(split(t.encode())) if t else []
+                    n_chunks.append(len(ends))
+                    n_removed.append(sum(out.issuperset(range(b, e)) for b, e in zip([0, *ends], ends)) if out else 0)
+            cols = [pa.array(new, pa.string()) if i == text else piece.column(i) for i in range(width - 1)]
+            cols += [pa.array(n_chunks, pa.int64()), pa.array(n_removed, pa.int64())] if counts else []
+            yield pa.RecordBatch.from_arrays(cols, names=schema.fieldNames())
 
     return map_batches(both, run, schema)
