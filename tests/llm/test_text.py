@@ -251,26 +251,69 @@ def test_one_digest_isnt_enough():
 
 def test_chain_is_the_best_chain():
     rng = random.Random(8)
-    for _ in range(40):
-        ms = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(12)})
-        best = [8.0] * len(ms)
-        for i, (p, r) in enumerate(ms):
-            for j, (a, b) in enumerate(ms[:i]):
-                if a < p and b < r:
-                    s = best[j] - passages.GAP_COST * ((p - a) + (r - b)) + min(p - a, r - b, 8)
-                    if best[j] - passages.GAP_COST * ((p - a) + (r - b)) > 0:
-                        best[i] = max(best[i], s)
+    k, cost = passages.K, passages.GAP_COST
+    longest = 0
+    for turn in range(300):
+        size = 60 if turn % 2 else 25
+        ms = sorted({(rng.randrange(size), rng.randrange(size)) for _ in range(rng.randrange(1, 25))})
+        ms += [(p + 4, r + 4) for p, r in ms[::3]]
+        parts = passages.runs(ms)
+        assert sorted(m for x in parts for m in x[3]) == sorted(set(ms))
+        best = [float(n) for _, _, n, _ in parts]
+        for i, (p, r, n, _) in enumerate(parts):
+            for j, (a, b, m, _) in enumerate(parts):
+                a, b = a + m - k + 1, b + m - k + 1
+                if j != i and a <= p and b <= r:
+                    best[i] = max(best[i], n + best[j] - cost * (p - a + r - b))
+        score, back = passages.chain_runs(parts)
+        assert np.allclose(score, best)
+        longest = max(longest, sum(b >= 0 for b in back))
         ways = passages.chain(ms)
-        assert sorted(m for w in ways for m in w) == ms
+        assert sorted(m for w in ways for m in w) == sorted(set(ms))
         assert all(x[0] < y[0] and x[1] < y[1] for w in ways for x, y in zip(w, w[1:]))
+    assert longest > 5
+
+
+def test_words_and_seeds():
+    text = b" The  cat\nsat\t" + b"y" * 700 + b" cat \xc3\xa9 " + b"y" * 699 + b"z"
+    h, start, end = passages.words(text)
+    assert [text[a:b] for a, b in zip(start, end)] == text.split()
+    same = text.split()
+    assert all((h[i] == h[j]) == (same[i] == same[j]) for i in range(len(same)) for j in range(len(same)))
+    rng = np.random.default_rng(9)
+    for n in (5, 6, 17, 18, 90):
+        one = rng.integers(0, 1 << 63, n, np.uint64)
+        every = passages.seeds(one, w=1)
+        at = set(passages.seeds(one)[1].tolist())
+        h = every[0].view(np.uint64).tolist()
+        want = {min(range(s, min(s + passages.W, len(h))), key=h.__getitem__) for s in range(max(1, len(h) - passages.W + 1))} if h else set()
+        assert at == want
+    assert not len(passages.words(b"")[0]) and not len(passages.words(b" \n ")[0])
+
+
+def test_long_gaps_are_aligned():
+    rng = random.Random(14)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    ends, middle = (say(30), say(30)), say(120)
+    a, b = [*ends[0], *middle, *ends[1]], [*ends[0], "one", *middle[:60], "more", *middle[60:], *ends[1]]
+    got = list(passages.align(a, b, [(0, 0), (24, 24), (150, 152), (174, 176)]))
+    assert got == [(0, 180, 0, 182, 180, 182)]
 
 
-def test_seeds_are_shared():
-    rng = random.Random(9)
-    run = [b"w%d" % rng.randrange(1000) for _ in range(passages.K + passages.W - 1)]
-    a = [b"a%d" % i for i in range(30)] + run + [b"b%d" % i for i in range(30)]
-    b = run + [b"c%d" % i for i in range(9)]
-    assert set(passages.seeds(a)[0].tolist()) & set(passages.seeds(b)[0].tolist())
+def test_a_passage_behind_its_pieces(spark):
+    rng = random.Random(15)
+    say = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    docs, want = [], set()
+    for case, (n, size, step) in enumerate([(120, 40, 27), (120, 40, 27), (200, 30, 20), (90, 45, 15)]):
+        p = say(n)
+        pieces_of = [" ".join([*say(20), *p[a : a + size], *say(20)]) for a in range(0, n - size + step, step)]
+        at = 1000 * case
+        first, later = (at + 500, at + 600) if case != 1 else (at + 1, at + 600)
+        docs += [(at + 10 + i, t) for i, t in enumerate(pieces_of)]
+        docs += [(first, " ".join([*say(9), *p, *say(9)])), (later, " ".join([*p, *say(30)]))]
+        want.add((later, first))
+    got = {(r.doc_id, r.ref_doc_id) for r in passages.passages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_passages(spark):

@@ -44,7 +44,17 @@ def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(spark)}/weftline/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables once all that read them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def byte_text(col: str = "text") -> F.Column:

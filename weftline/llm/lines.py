@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._common import byte_text, chunked, free_name, map_batches, materialize
+from weftline.llm._common import byte_text, chunked, discard, free_name, map_batches, materialize
 
 WINDOW = 2
 #: One window in four ends a chunk.
@@ -176,6 +176,7 @@ def dedup(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFra
     first = materialize(spark, first.select("h1", "h2", F.col("at.uid").alias("first_uid"), F.col("at.pos").alias("first_pos")), "line-firsts")
     later = places.join(first.hint("merge"), ["h1", "h2"]).where("uid <> first_uid or pos >= first_pos + n")
     later = materialize(spark, later.select("uid", "first_uid", "pos", "first_pos", "n"), "line-repeats")
+    discard(places, first)
     # As many parts as a document has lines at most.
     parts = _first_bytes(rows, uid, later).groupBy("uid").agg(F.flatten(F.collect_list("parts")).alias("parts"))
     own = [free_name(rows, x) for x in ("later", "parts")]

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import free_name, materialize
+from weftline.llm._common import discard, free_name, materialize
 
 #: Buckets of words, and as many of pairs.
 BUCKETS = 1 << 20
@@ -112,6 +112,7 @@ def weights(spark: SparkSession, docs: DataFrame, known: DataFrame) -> Fit:
     c, e = F.coalesce("c", F.lit(0)), F.col("n") * (n_good / max(1, docs.count()))
     rows = raw.join(target, "bucket", "left").select("bucket", _weight(c, e).alias("w"), _weight(F.greatest(c - 1, F.lit(0)), e).alias("own"))
     rows = rows.where("w <> 0 or own <> 0").toPandas()  # at most the buckets of a bounded sample and of frequent n-grams
+    discard(raw, target)
     return Fit(*(rows[x].to_numpy(k) for x, k in (("bucket", np.int64), ("w", np.float64), ("own", np.float64))))
 
 
@@ -152,6 +153,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int
     bad = _scored(spark, known.where("not good").select("doc_id", "text"), model.at, model.weight, "w").toPandas()["w"].to_numpy(np.float64)
     good = _scored(spark, known.where("good").select("doc_id", "text"), model.at, model.own, "w").toPandas()["w"].to_numpy(np.float64)
     model.cut = best_cut(np.concatenate([good, bad]), np.arange(len(good) + len(bad)) < len(good))
+    discard(known)
     return model
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm._common import byte_text, map_batches, materialize
+from weftline.llm._common import byte_text, discard, map_batches, materialize
 
 SEED = 42
 BITS = 64
@@ -136,7 +136,8 @@ def connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> Da
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), "m")
         joined = large.join(low, large["a"] == low["c"])
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("c").alias("a"), F.col("m").alias("b")))
-        e = materialize(spark, small.where("a > b").distinct(), "edges")
+        old, e = e, materialize(spark, small.where("a > b").distinct(), "edges")
+        discard(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b")).first()
         if now == before:
             break
