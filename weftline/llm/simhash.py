@@ -173,12 +173,6 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of distinct hashes."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def _banded(docs: DataFrame) -> DataFrame:
     """The rows with _uid, _set (a hash of their shingle set) and _bands."""
     rows = docs.withColumn("_uid", F.monotonically_increasing_id()).withColumn("_bytes", byte_text())
@@ -193,36 +187,44 @@ def _banded(docs: DataFrame) -> DataFrame:
     return map_batches(rows, run, schema)
 
 
-def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets have the similarity."""
-    pairs = materialize(spark, pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-    # b, which many pairs may have, is joined last: its text isn't shuffled again.
-    left = pairs.join(texts.select(F.col("_uid").alias("a"), F.col("t").alias("x")), "a")
-    both = left.join(texts.select(F.col("_uid").alias("b"), F.col("t").alias("y")), "b").select("a", "b", "x", "y")
+def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(uid, set): shingle sets of the rows whose _uid is among ``ids``."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, 256):
+            part = batch.slice(a, 256)
+            sets = [shingle_set(t).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "set"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, other = None, np.zeros(0, np.uint64)
-        for batch in batches:
-            ids, centres, texts, others = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for b, x, y in zip(centres, texts, others):
-                if b != known:
-                    known, other = b, shingle_set(y)
-                keep.append(similarity(shingle_set(x), other) >= NEAR)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(centres, pa.int64())], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    some = rows.join(ids, rows["_uid"] == ids[ids.columns[0]], "left_semi")
+    return map_batches(some.select("_uid", byte_text()), run, "uid long, set array<long>")
 
-    return materialize(spark, both.mapInArrow(run, "a long, b long"), "near-links")
+
+def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have the similarity.
+
+    Sets are compared a row at a time in the JVM, as many pairs may share a long one.
+    """
+    pairs = materialize(spark, pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
+    # b, which many pairs may have, is joined last: its set isn't shuffled again.
+    left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
+    both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
+    union = F.col("nx") + F.col("ny") - F.col("n")
+    out = materialize(spark, both.where((union == 0) | (F.col("n") / union >= NEAR)).select("a", "b"), "near-links")
+    discard(pairs)
+    return out
 
 
 def near_groups(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """(_set, root) of ``rows``, which are _banded() and written."""
     nodes = materialize(spark, rows.groupBy("_set").agg(F.min("_uid").alias("node")), "near-nodes")
-    texts = rows.select("_uid", byte_text().alias("t"))
     own = rows.join(nodes, rows["_uid"] == nodes["node"], "left_semi").select("_uid", F.posexplode("_bands").alias("band", "key"))
     shared = own.groupBy("band", "key").agg(F.min("_uid").alias("lo"), F.max("_uid").alias("hi")).where("lo <> hi")
     met = materialize(spark, own.join(shared, ["band", "key"]).select("band", "key", F.col("_uid").alias("a"), "lo", "hi"), "near-met")
+    sets = materialize(spark, _sets(rows, met.select("a").distinct()), "near-sets")
     # First with the two ends of each bucket: one comparison or two a row.
-    stars = _confirmed(spark, met.select("a", F.explode(F.array("lo", "hi")).alias("b")), texts)
+    stars = _confirmed(spark, met.select("a", F.explode(F.array("lo", "hi")).alias("b")), sets)
     roots = materialize(spark, connected(spark, stars), "near-roots")
     # Then whatever shares a bucket and isn't joined yet.
     placed = met.join(roots, met["a"] == roots["node"], "left").select("band", "key", "a", F.coalesce("root", "a").alias("root"))
@@ -231,7 +233,7 @@ def near_groups(spark: SparkSession, rows: DataFrame) -> DataFrame:
     one, two = left.alias("one"), left.alias("two")
     rest = one.join(two, ["band", "key"]).where("one.a > two.a and one.root <> two.root").select("one.a", F.col("two.a").alias("b"))
     rest = rest.join(stars, ["a", "b"], "left_anti")
-    roots = connected(spark, stars.union(_confirmed(spark, rest, texts)))
+    roots = connected(spark, stars.union(_confirmed(spark, rest, sets)))
     return nodes.join(roots, "node", "left").select("_set", F.coalesce("root", "node").alias("root"))
 
 
