@@ -168,6 +168,8 @@ def dedup(spark: SparkSession, docs: DataFrame, counts: bool = False) -> DataFra
         docs = docs.select("doc_id", "text")
     uid = free_name(docs, "uid")
     rows = materialize(spark, docs.withColumn("text", F.col("text").cast("string")).withColumn(uid, F.monotonically_increasing_id()), "line-docs")
+    # No id is null; said here, both joins below read the rows through one exchange.
+    rows = rows.where(F.col(uid).isNotNull())
     places = materialize(spark, _places(rows, uid), "line-chunks")
     place = F.struct(F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0)).alias("id"), "uid", "pos")
     first = places.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("many")).where("many > 1")
