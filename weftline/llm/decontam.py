@@ -1,10 +1,11 @@
 """Benchmark decontamination with DataFrame operations only.
 
 The benchmark's normalised word windows form a hash set that every executor
-gets. Its size is checked: beyond ``set_limit`` windows it is dealt into blocks
-with a pass over the documents for each. Every document position looks up the
-hash of its window in the set; hits are then verified word by word, by a join
-on the exact window, before they count.
+gets by a broadcast join. Its size is checked: beyond ``set_limit`` windows the
+hashes of the positions are shuffled to the windows instead. Either way the
+documents are read for their positions once, whatever the benchmark's size. Every
+document position looks up the hash of its window in the set; hits are then
+verified word by word against the exact window before they count.
 
 Words: the text in lower case (A-Z only), runs of characters outside ASCII
 punctuation, control and white space. A window is ``n`` consecutive words of a
@@ -20,12 +21,14 @@ documents are ignored by ``find`` and kept by ``remove_documents`` and
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm._common import free_name
+
 WINDOW = 10
+#: Windows of a benchmark that is broadcast; some 200 bytes each.
+SET_LIMIT = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that are no part of a word, before lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -50,22 +53,6 @@ def _window_hash(hashes: F.Column, n: int, i: F.Column) -> F.Column:
     return F.xxhash64(*[F.get(hashes, i + j) for j in range(n)])
 
 
-def _in_set(hashes: F.Column, k: int, values: list[int], i: F.Column) -> F.Column:
-    return _window_hash(hashes, k, i).isin(values)
-
-
-def _with_k(k: int, i: F.Column) -> F.Column:
-    return F.struct(i.alias("i"), F.lit(k).alias("k"))
-
-
-def _hash_set(windows: DataFrame, limit: int) -> dict[int, list[int]]:
-    """Window hashes by window length, about ``limit`` of them."""
-    out: dict[int, list[int]] = {}
-    for r in windows.select("len", "wh").distinct().collect():
-        out.setdefault(r[0], []).append(r[1])
-    return out
-
-
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, dict[int, int]]:
     """One row per distinct window (hash, exact words, length and its items),
     and the number of windows of each length, repeats included."""
@@ -87,51 +74,62 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame,
     return rows.groupBy("wh", "len", "exact").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), lengths
 
 
+def _key(hashes: F.Column, lengths: list[int], size: F.Column, x: F.Column) -> tuple[F.Column, F.Column, F.Column]:
+    """Hash, start and length of window ``x`` of a text: all starts for the first
+    length, then for the next. The hash is null where the text ends before."""
+    n = F.greatest(size, F.lit(1))
+    which, i = F.floor(x / n).cast("int"), F.pmod(x, n)
+    key, k = F.lit(None).cast("long"), F.lit(0)
+    for at, length in enumerate(lengths):
+        here = (x >= 0) & (which == at)
+        key = F.when(here & (i + length <= size), _window_hash(hashes, length, i)).otherwise(key)
+        k = F.when(here, length).otherwise(k)
+    return key, i.cast("int"), k
+
+
 def find(
     spark: SparkSession,
     docs: DataFrame,
     benchmark: DataFrame,
     n: int = WINDOW,
-    set_limit: int = 20_000,
+    set_limit: int = SET_LIMIT,
     with_spans: bool = False,
 ) -> DataFrame:
     """Per document row: n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A benchmark of over ``set_limit`` windows is dealt into blocks by hash, and
-    each block is sent to the executors in a pass of its own. With ``with_spans``
+    A benchmark of over ``set_limit`` windows isn't broadcast. With ``with_spans``
     the hit word ranges and ``text_hash`` are returned too; a row is known by
     (doc_id, text_hash), so rows that repeat a doc_id don't mix.
     """
     wins, lengths = benchmark_windows(benchmark, n)
-    blocks = max(1, -(-sum(lengths.values()) // set_limit))
+    sizes = sorted(lengths, reverse=True)
     # Generators of one row each: the optimizer doesn't move the arrays across
     # them into the expressions that read them at every position.
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(words(F.col("text")))).alias("w"))
-    base = base.select("doc_id", "text_hash", "w", F.explode(F.array(_hash_words(F.col("w")))).alias("h"))
+    hashed = base.select("doc_id", "text_hash", "w", F.explode(F.array(_hash_words(F.col("w")))).alias("h"))
     size = F.size("w")
-    none = F.array().cast("array<struct<i:int,k:int>>")
-    rows = None
-    for block in range(blocks):
-        probe = wins.where(F.pmod("wh", F.lit(blocks)) == block) if blocks > 1 else wins
-        # An entry with k = 0 stands for the document itself.
-        found = [F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("k")))] if block == 0 else []
-        for k, hashes in _hash_set(probe, set_limit).items():
-            at = F.filter(F.sequence(F.lit(0), F.greatest(size - k, F.lit(0))), partial(_in_set, F.col("h"), k, hashes))
-            found.append(F.when(size >= k, F.transform(at, partial(_with_k, k))).otherwise(none))
-        m = base.select("doc_id", "text_hash", "w", F.concat(*(found or [none])).alias("at"))
-        m = m.select("doc_id", "text_hash", "w", F.explode("at").alias("c")).select("doc_id", "text_hash", "w", "c.i", "c.k")
-        own = F.transform(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), lambda j: F.get(F.col("w"), F.col("i") + j))
-        m = m.select("doc_id", "text_hash", F.size("w").alias("n"), "i", "k", F.when(F.col("k") > 0, ascii_lower(F.concat_ws(" ", own))).alias("own"))
-        m = m.join(F.broadcast(probe.select("exact", "items")), m["own"] == F.col("exact"), "left")
-        self_row = F.col("k") == 0
-        m = m.where(self_row | F.col("exact").isNotNull()).select(
-            "doc_id",
-            "text_hash",
-            F.when(self_row, F.col("n")).cast("long").alias("n_words"),
-            F.when(~self_row, F.struct("i", (F.col("i") + F.col("k")).alias("e"))).alias("span"),
-            "items",
-        )
-        rows = m if rows is None else rows.unionByName(m)
+    # Position -1 stands for the document itself.
+    at = hashed.select("doc_id", "text_hash", "w", "h", F.explode(F.sequence(F.lit(-1), size * len(sizes) - 1)).alias("x"))
+    key, i, k = _key(F.col("h"), sizes, size, F.col("x"))
+    own = F.transform(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), lambda j: F.get(F.col("w"), F.col("i") + j))
+    exact = ascii_lower(F.concat_ws(" ", own)) == F.col("exact")
+    span = F.struct("i", (F.col("i") + F.col("k")).alias("e"))
+    none = F.lit(None).cast("struct<i:int,e:int>")
+    whole = F.lit(None).cast("array<string>")
+    probe = wins.select("wh", "exact", "items")
+    if sum(lengths.values()) <= set_limit:
+        m = at.select("doc_id", "text_hash", "w", "x", key.alias("key"), i.alias("i"), k.alias("k")).where("x < 0 or key is not null")
+        m = m.join(F.broadcast(probe), m["key"] == probe["wh"], "left").where((F.col("x") < 0) | (F.col("wh").isNotNull() & exact))
+        self_row = F.col("x") < 0
+        rows = m.select("doc_id", "text_hash", F.when(self_row, size).cast("long").alias("n_words"), F.when(~self_row, span).alias("span"), "items")
+    else:
+        m = at.select("doc_id", "text_hash", key.alias("key"), i.alias("i"), k.alias("k")).where("key is not null")
+        m = m.join(probe.hint("merge"), m["key"] == probe["wh"]).select("doc_id", "text_hash", "i", "k", "exact", "items")
+        # Few positions are left: their texts' words are fetched.
+        texts = base.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "w").dropDuplicates(["_id", "_th"])
+        m = m.join(texts, m["doc_id"].eqNullSafe(texts["_id"]) & m["text_hash"].eqNullSafe(texts["_th"])).where(exact)
+        m = m.select("doc_id", "text_hash", F.lit(None).cast("long").alias("n_words"), span.alias("span"), "items")
+        rows = base.select("doc_id", "text_hash", size.cast("long").alias("n_words"), none.alias("span"), whole.alias("items")).unionByName(m)
     # Both sets have a bound: a document's positions, and the benchmark's items.
     found = rows.groupBy("doc_id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
@@ -161,15 +159,17 @@ def find(
     return out.drop("_copy")
 
 
-def _bad(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+def _bad(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, list[str]]:
+    """(id, text hash, spans) of texts with hits, under names that ``docs`` lacks, and the names."""
     found = find(spark, docs.select("doc_id", "text"), benchmark, n, with_spans=True).where("contaminated")
-    return found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_th"])
+    names = [free_name(docs, x) for x in ("id", "th", "spans")]
+    return found.select("doc_id", "text_hash", "spans").dropDuplicates(["doc_id", "text_hash"]).toDF(*names), names
 
 
 def remove_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """Documents without any verified hit, all columns kept."""
-    bad = _bad(spark, docs, benchmark, n)
-    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_th"])
+    bad, (key, th, _) = _bad(spark, docs, benchmark, n)
+    same = docs["doc_id"].eqNullSafe(bad[key]) & (F.xxhash64(docs["text"]) == bad[th])
     return docs.join(bad, same, "left_anti")
 
 
@@ -178,13 +178,14 @@ def remove_spans(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n:
 
     The separators around the removed words stay, so nothing else changes.
     """
-    bad = _bad(spark, docs, benchmark, n)
-    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_th"])
+    bad, (key, th, spans) = _bad(spark, docs, benchmark, n)
+    same = docs["doc_id"].eqNullSafe(bad[key]) & (F.xxhash64(docs["text"]) == bad[th])
     both = docs.join(bad, same, "left")
     kept = F.transform(
         words(F.col("text")),
-        lambda w, i: F.when(F.exists("_spans", lambda s: (s["i"] <= i) & (i < s["e"])), F.lit("")).otherwise(w),
+        lambda w, i: F.when(F.exists(F.col(spans), lambda s: (s["i"] <= i) & (i < s["e"])), F.lit("")).otherwise(w),
     )
     pairs = F.arrays_zip(F.split("text", WORD).alias("g"), F.concat(kept, F.array(F.lit(""))).alias("k"))
     text = F.array_join(F.transform(pairs, lambda z: F.concat(z["g"], z["k"])), "")
-    return both.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text"))).select(*docs.columns)
+    cut = F.when(F.col(spans).isNotNull(), text).otherwise(F.col("text"))
+    return both.select(*[cut.alias(c) if c == "text" else F.col(c) for c in docs.columns])
