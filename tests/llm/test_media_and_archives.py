@@ -102,7 +102,7 @@ def test_fixed_predictors_agree_with_the_bit_reader():
 def test_digest(spark):
     docs = [(1, "abc"), (2, None), (3, ""), (1, "abc"), (4, "é" * 50_000)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("media", F.lit(1))
-    got = sorted(map(tuple, flac.digest(df).collect()))
+    got = sorted(map(tuple, flac.digest(flac.to_media(df)).collect()))
     assert len(got) == 5
     for r in got:
         raw = next((t or "") for i, t in docs if i == r[0]).encode()
@@ -113,7 +113,7 @@ def test_digest(spark):
     media = flac.to_media(df)
     blocks = flac.pcm_blocks(media.where("doc_id = 4"), 576 * 10).orderBy("first_sample").collect()
     assert b"".join(b.pcm for b in blocks) == flac.pad(("é" * 50_000).encode()) and [b.first_sample for b in blocks[:2]] == [0, 5760]
-    assert flac.digest(df.where("false")).count() == 0
+    assert flac.digest(flac.to_media(df.where("false"))).count() == 0
 
 
 def archive(**members):

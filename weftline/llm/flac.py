@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._common import byte_text, map_batches
+from weftline.llm._common import byte_text, chunked, map_batches
 
 BLOCK = 576
 RATE = 8000
@@ -477,13 +477,19 @@ def feature(payload: bytes) -> str:
     return f"energy={int((x * x).sum())};peak={int(np.abs(x).max())};sum={int(x.sum())};changes={changes}"
 
 
+def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of rows that are coded together: their blocks share the array work."""
+    return chunked(sizes, SLICE)
+
+
 def to_media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): every text as a FLAC stream."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(batch.num_rows):
-            raw = batch.column(1)[i].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([encode(pad(raw))], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        texts = batch.column(1).to_pylist()
+        for a, z in _groups([len(t) + 1 for t in texts]):
+            media = encode_many([pad(t) for t in texts[a:z]])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array([len(t) for t in texts[a:z]], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return map_batches(docs.select(F.col("doc_id").cast("long"), byte_text().alias("b")), run, "doc_id long, n_bytes long, media binary")
 
@@ -492,11 +498,15 @@ def pcm_blocks(media: DataFrame, samples: int = 64 * BLOCK) -> DataFrame:
     """Decoded blocks with their sample offsets: (doc_id, first_sample, pcm)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for i in range(batch.num_rows):
-            pcm = decode(batch.column(1)[i].as_py())
-            starts = list(range(0, len(pcm), samples))
-            ids = pa.array([batch.column(0)[i].as_py()] * len(starts), pa.int64())
-            yield pa.RecordBatch.from_arrays([ids, pa.array(starts, pa.int64()), pa.array([pcm[a : a + samples] for a in starts], pa.binary())], names=["doc_id", "first_sample", "pcm"])
+        streams = batch.column(1).to_pylist()
+        for a, z in _groups([len(m) for m in streams]):
+            ids, starts, blocks = [], [], []
+            for row, pcm in enumerate(decode_many(streams[a:z]), a):
+                for at in range(0, len(pcm), samples):
+                    ids.append(row)
+                    starts.append(at)
+                    blocks.append(pcm[at : at + samples])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(starts, pa.int64()), pa.array(blocks, pa.binary())], names=["doc_id", "first_sample", "pcm"])
 
     return map_batches(media.select("doc_id", "media"), run, "doc_id long, first_sample long, pcm binary")
 
@@ -504,29 +514,16 @@ def pcm_blocks(media: DataFrame, samples: int = 64 * BLOCK) -> DataFrame:
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digest(docs: DataFrame) -> DataFrame:
-    """Store each text, read the stored bytes back and describe both."""
+def digest(media: DataFrame) -> DataFrame:
+    """What the stored streams of ``to_media`` hold, from their decoded samples."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = batch.column(1).to_pylist()
-        at = 0
-        while at < len(texts):  # many short texts are coded together
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
-                size += len(texts[end])
-                end += 1
-            rows = _digest_group(texts[at:end])
-            cols = [batch.column(0).slice(at, end - at), *map(pa.array, zip(*rows))]
+        streams = batch.column(2).to_pylist()
+        for a, z in _groups([len(m) for m in streams]):
+            rows = []
+            for m, p in zip(streams[a:z], decode_many(streams[a:z])):
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
+            cols = [batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), *map(pa.array, zip(*rows))]
             yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in DIGEST.split(", ")])
-            at = end
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), byte_text().alias("b")), run, DIGEST)
-
 
-def _digest_group(texts: list[bytes]) -> list[tuple]:
-    """Encode and decode a group of texts; blocks of all texts share the array work."""
-    media = encode_many([pad(t) for t in texts])
-    rows = []
-    for t, m, p in zip(texts, media, decode_many(media)):
-        rows.append((len(t), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(p)))
-    return rows
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, DIGEST)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm import decontam, flac, htmltext, lines, passages, pieces, quality, secrets, simhash, warc
-from weftline.llm._common import table
+from weftline.llm._common import materialize, table
 
 
 def op1(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +21,7 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, d: str) -> DataFrame:
-    return flac.digest(table(spark, d, "documents"))
+    return flac.digest(materialize(spark, flac.to_media(table(spark, d, "documents")), "media"))
 
 
 def op5(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,8 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
 def op9(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    found, _ = secrets.scan(spark, docs)
+    base = tuple(r for r in secrets.RULES if r.base)
+    found, _ = secrets.scan_versions(spark, docs, (base, secrets.RULES))
     return secrets.findings_by_path(docs, found).drop("blob_id")
 
 

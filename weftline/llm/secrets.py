@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm._common import materialize
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -71,20 +73,23 @@ def scan(
     Append both to the stored findings and ledger; a second scan of the same
     history then has nothing to do.
     """
-    blobs = versions(docs).groupBy("blob_id").agg(F.first("text").alias("text"))
     todo = F.array(*[F.lit(r.kind) for r in rules])
     if ledger is not None:
         current = None
         for r in rules:
             c = (F.col("kind") == r.kind) & (F.col("rule_version") == r.version)
             current = c if current is None else current | c
-        # At most one entry for each rule.
+        # At most one entry for each rule. Texts don't move for the look-up.
         seen = ledger.where(current).groupBy("blob_id").agg(F.collect_set("kind").alias("seen"))
-        blobs = blobs.join(seen, "blob_id", "left")
-        todo = F.array_except(todo, F.coalesce(F.col("seen"), F.array().cast("array<string>")))
-    blobs = blobs.select("blob_id", "text", todo.alias("todo")).where(F.size("todo") > 0)
+        ids = versions(docs).select("blob_id").distinct().join(seen, "blob_id", "left")
+        left = F.array_except(todo, F.coalesce(F.col("seen"), F.array().cast("array<string>")))
+        ids = materialize(spark, ids.select("blob_id", left.alias("todo")).where(F.size("todo") > 0), "secrets-todo")
+        blobs = versions(docs).groupBy("blob_id").agg(F.first("text").alias("text")).join(ids, "blob_id")
+    else:
+        ids = versions(docs).select("blob_id").distinct().select("blob_id", todo.alias("todo"))
+        blobs = versions(docs).groupBy("blob_id").agg(F.first("text").alias("text")).select("blob_id", "text", todo.alias("todo"))
     version = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
-    pairs = blobs.select("blob_id", F.explode("todo").alias("kind")).select("blob_id", "kind", version[F.col("kind")].alias("rule_version"))
+    pairs = ids.select("blob_id", F.explode("todo").alias("kind")).select("blob_id", "kind", version[F.col("kind")].alias("rule_version"))
     return _spans(blobs, rules), pairs
 
 
@@ -123,6 +128,21 @@ def _spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     )
 
 
+def scan_versions(spark: SparkSession, docs: DataFrame, releases: tuple[tuple[Rule, ...], ...]) -> tuple[DataFrame, DataFrame]:
+    """Findings and ledger after a scan with each release of the rules in turn.
+
+    Findings and ledger are stored after each scan; the next reads the ledger and
+    scans only the (blob, rule version) pairs that it lacks.
+    """
+    found = ledger = None
+    for rules in releases:
+        new, pairs = scan(spark, docs, ledger, rules)
+        new, pairs = materialize(spark, new, "secrets-found"), materialize(spark, pairs, "secrets-ledger")
+        found = new if found is None else found.unionByName(new)
+        ledger = pairs if ledger is None else ledger.unionByName(pairs)
+    return found, ledger
+
+
 def findings_by_path(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Findings joined back to every row that carries the blob."""
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
@@ -135,6 +155,9 @@ def findings_by_path(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ..
     count = lambda kind: F.size(F.filter("f", lambda x: x["kind"] == kind)).cast("long")
     cols = [count(r.kind).alias(f"n_{r.kind}") for r in rules if r.base]
     shown = per_blob.select("blob_id", *cols, show(F.filter("f", lambda x: F.array_contains(base, x["kind"]))).alias("base"), show(F.col("f")).alias("spans"))
+    # A table of its own, so that Spark can split the join where very many paths
+    # carry one blob.
+    shown = materialize(docs.sparkSession, shown, "secrets-shown").hint("merge")
     paths = versions(docs).select("doc_id", "blob_id")
     none = F.lit("")
     return paths.join(shown, "blob_id", "left").select(
