@@ -51,12 +51,6 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return simhash.components(spark, table(spark, d, "documents"))
 
 
-def pipeline(spark: SparkSession, d: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, d)
-
-
 QUERIES = {
     "op1_benchmark_decontamination": op1,
     "op2_line_dedup": op2,
@@ -68,7 +62,6 @@ QUERIES = {
     "op8_substring_dedup": op8,
     "op9_secret_scans": op9,
     "op10_simhash": op10,
-    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
@@ -94,5 +87,30 @@ hit_items AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words h USING (r) LEFT JOIN hit_items m USING (r)
+""",
+    "op9_secret_scans": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT r, 0 AS o, 'assign' AS kind, t, '(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)' AS p, 1 AS part, 12 AS least FROM docs
+  UNION ALL SELECT r, 1, 'access', t, 'AKIA[A-Z0-9]+', 0, 18 FROM docs
+  UNION ALL SELECT r, 2, 'hex', t, '[0-9a-f]+', 0, 16 FROM docs
+  UNION ALL SELECT r, 3, 'pem', t, '-----BEGIN [A-Z ]*PRIVATE KEY-----', 0, 0 FROM docs
+  UNION ALL SELECT r, 4, 'forge', t, 'gh[pousr]_[A-Za-z0-9]{36,}', 0, 0 FROM docs
+), cut AS (
+  SELECT r, o, kind, least, regexp_extract_all(t, p, 0) AS g, CASE part WHEN 1 THEN regexp_extract_all(t, p, 1) ELSE regexp_extract_all(t, p, 0) END AS v, string_split_regex(t, p) AS s FROM found WHERE regexp_matches(t, p)
+), hit AS (
+  SELECT r, o, kind, least, unnest(g) AS g, unnest(v) AS v, unnest(s[1 : len(g)]) AS s, unnest(range(len(g))) AS n FROM cut
+), spans AS (
+  SELECT r, o, kind, least, v, CAST(sum(length(s) + length(g)) OVER (PARTITION BY r, o ORDER BY n) AS BIGINT) AS e, length(g) AS len FROM hit
+), shown AS (
+  SELECT r, o, kind, e - len AS a, kind || ':' || CAST(e - len AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS x FROM spans WHERE length(v) >= least
+), per AS (
+  SELECT r, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex,
+    coalesce(string_agg(x, ',' ORDER BY a, o) FILTER (o < 3), '') AS base, string_agg(x, ',' ORDER BY a, o) AS spans
+  FROM shown GROUP BY r
+)
+SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per USING (r)
 """,
 }
