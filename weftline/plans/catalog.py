@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -96,6 +97,14 @@ class Catalog:
                     todo.append(n)
         raise NoJoinPath(start, goal)
 
+    def related(self, table: str) -> list[str]:
+        """Tables that share a key with this one."""
+        return list(dict.fromkeys(n for n, _ in self.neighbours(table)))
+
+    def write_columns(self, table: str) -> dict[str, tuple[str, str]]:
+        """Column of the table -> (table, column) that its foreign key names."""
+        return {k.column: (k.ref_table, k.ref_column) for k in self.foreign_keys if k.table == table}
+
     def reachable(self, table: str, hops: int = 3) -> dict[str, int]:
         """Tables within so many keys, with their distance."""
         far, todo = {table: 0}, deque([table])
@@ -151,6 +160,40 @@ class Grants:
         if table not in self.writable:
             raise AccessDenied(f"No write access to '{table}'")
 
+    def check_text(self, full: Catalog, text: str) -> None:
+        """No word of a text (SQL, or a request) may name a table that isn't granted."""
+        words = {w.lower() for w in re.findall(r"[A-Za-z_]\w*", text)}
+        for t in full.tables.keys() - self.tables:
+            if t.lower() in words:
+                raise AccessDenied(f"No read access to '{t}'")
+
+    def check_query(self, intent: Mapping, full: Catalog | None = None) -> None:
+        """Tables, joins, expressions and subquery texts of an intent."""
+        tables = [intent["table"], *[j["table"] for j in intent.get("joins") or []]]
+        for t in tables:
+            if t not in self.tables:
+                raise AccessDenied(f"No read access to '{t}'")
+        if full is None:
+            return
+        bare = [j["table"] for j in intent.get("joins") or [] if not j.get("on")]
+        for t in bare:
+            self.check_joins(full, [intent["table"], t])
+        texts = [f.get("value") for f in intent.get("filters") or [] if isinstance(f.get("value"), str) and "select" in f["value"].lower()]
+        for part in ("columns", "filters", "orderBy"):
+            texts += [x["expr"] for x in intent.get(part) or [] if isinstance(x.get("expr"), str)]
+        for text in texts:
+            self.check_text(full, text)
+
+    def check_payload(self, payload: Mapping) -> None:
+        """Table and columns of a write."""
+        table = payload["table"]
+        self.check_write(table)
+        keep = self.columns.get(table)
+        given = [*(payload.get("columns") or []), *(payload.get("staticValues") or {}), *(payload.get("staticWhere") or {}), *(payload.get("whereColumns") or [])]
+        for c in given:
+            if keep is not None and c not in keep:
+                raise AccessDenied(f"No access to column '{c}' of '{table}'")
+
     def check_expression(self, table: str, tree) -> None:
         from weftline.plans.expressions import references
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
@@ -287,8 +286,3 @@ def without_unknown(e: Any, known: Iterable[str]) -> Any:
 def evaluate(spark, e: Mapping, scope: Mapping[str, Any], functions: FunctionRegistry | None = None, options: Options = DEFAULT) -> Any:
     """The value of a tree that names no field, on the driver."""
     return spark.range(1).select(Compiler(columns_resolver([]), scope, functions, options)(e).alias("v")).first()[0]
-
-
-def value_of(x: Any) -> Any:
-    """A JSON-friendly value."""
-    return x.isoformat() if isinstance(x, (datetime.date, datetime.datetime)) else x

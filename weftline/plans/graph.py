@@ -253,7 +253,3 @@ def body_graph(graph: Graph, body: list[str]) -> Graph:
     fed = {e.target for e in edges}
     feeds = {e.source for e in edges}
     return Graph({b: graph.nodes[b] for b in body}, edges, [b for b in body if b not in fed], [b for b in body if b not in feeds])
-
-
-def payload_of(value: Any) -> dict:
-    return dict(value or {})

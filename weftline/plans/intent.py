@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import FunctionRegistry
-from weftline.plans.catalog import Catalog
+from weftline.plans.catalog import Catalog, Grants
 from weftline.plans.expressions import Compiler, UnknownField, aggregate, sort_key
 from weftline.plans.options import DEFAULT, Options
 
@@ -122,13 +122,20 @@ class Query:
         refs: Mapping[str, Any] | None = None,
         options: Options = DEFAULT,
         functions: FunctionRegistry | None = None,
+        grants: Grants | None = None,
     ):
+        if grants is not None:  # whatever reads a table meets the grants
+            plain = load
+            load = lambda name: grants.frame(name, plain(name))
+        self.grants = grants
         self.spark, self.load, self.refs, self.options, self.functions = spark, load, refs or {}, options, functions
         self.catalog = catalog
 
     def run(self, intent: Mapping) -> DataFrame:
+        if self.grants is not None:
+            self.grants.check_query(intent, self.catalog)
         catalog = self.catalog or self._catalog(intent)
-        validate(intent, catalog)
+        validate(intent, self.grants.catalog(catalog) if self.grants is not None else catalog)
         return _Build(self, intent, catalog).frame()
 
     def explain(self, intent: Mapping) -> str:
@@ -236,7 +243,7 @@ class _Build:
                 one = values.agg(F.max("_ref") if f["operator"] in ("<", "<=") else F.min("_ref")).first()[0]
                 return df.where(self.condition({**f, "value": one}, self.resolve(owner, f["field"])))
             col = self.resolve(owner, f["field"])
-            return df.join(values.distinct(), col == F.col("_ref"), "left_anti" if negative else "left_semi")
+            return self._not_in(df, values, col) if negative else df.join(values.distinct(), col == F.col("_ref"), "left_semi")
         text = f["value"].strip()
         text = text[1:-1] if text.startswith("(") and text.endswith(")") else text
         inner = self.q.spark.sql(text, **{})
@@ -250,10 +257,14 @@ class _Build:
         col = self.resolve(owner, f["field"])
         if not negative:
             return df.join(inner.distinct(), col == F.col("_ref"), "left_semi")
-        # SQL's NOT IN: a null among the values leaves no row, a null on this side
-        # only passes an empty list.
-        state = inner.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_ref").isNull()).alias("_nulls"))
-        kept = df.join(inner.where(F.col("_ref").isNotNull()).distinct(), col == F.col("_ref"), "left_anti")
+        return self._not_in(df, inner, col)
+
+    @staticmethod
+    def _not_in(df: DataFrame, values: DataFrame, col: Column) -> DataFrame:
+        """SQL's NOT IN: a null among the values leaves no row, a null on this side
+        only passes an empty list."""
+        state = values.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_ref").isNull()).alias("_nulls"))
+        kept = df.join(values.where(F.col("_ref").isNotNull()).distinct(), col == F.col("_ref"), "left_anti")
         return kept.join(F.broadcast(state), F.when(F.col("_n") == 0, True).otherwise((F.col("_nulls") == 0) & col.isNotNull()), "left_semi")
 
     # -- the parts
@@ -455,8 +466,3 @@ class _Build:
         if self.intent.get("offset"):
             df = df.offset(self.intent["offset"])
         return df if self.intent.get("limit") is None else df.limit(self.intent["limit"])
-
-
-def run_query(spark: SparkSession, load: Callable[[str], DataFrame], intent: Mapping, **options: Any) -> DataFrame:
-    """The DataFrame of an intent."""
-    return Query(spark, load, **options).run(intent)

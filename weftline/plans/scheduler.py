@@ -7,7 +7,10 @@ items, error policies other than fail, budgets, side effects and the end.
 
 from __future__ import annotations
 
+import datetime
+import json
 import time
+import uuid
 from collections import ChainMap
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -105,6 +108,7 @@ class Context:
     store: Any = None
     listener: Callable[[dict], None] | None = None
     catalog: Any = None
+    grants: Any = None
 
     def event(self, what: str, node: str, **more: Any) -> None:
         e = {"event": what, "node": node, "at": time.time(), **more}
@@ -114,7 +118,7 @@ class Context:
 
     def child(self, **names: Any) -> Context:
         """A scope that sees this one's names; its own stay inside."""
-        return Context(self.spark, self.load, self.params, ChainMap(names, self.scope), self.budget, self.functions, self.options, dict(self.outputs), self.trace, self.llm, self.http, self.store, self.listener, self.catalog)
+        return Context(self.spark, self.load, self.params, ChainMap(names, self.scope), self.budget, self.functions, self.options, dict(self.outputs), self.trace, self.llm, self.http, self.store, self.listener, self.catalog, self.grants)
 
     def refs(self) -> dict[str, Any]:
         out = dict(self.scope)
@@ -164,7 +168,7 @@ def _output(node, inputs, ctx: Context) -> Value:
 
 
 def _query(node, inputs, ctx: Context) -> Value:
-    q = Query(ctx.spark, ctx.load, ctx.catalog, ctx.refs(), ctx.options, ctx.functions)
+    q = Query(ctx.spark, ctx.load, ctx.catalog, ctx.refs(), ctx.options, ctx.functions, ctx.grants)
     return Value("tabular", q.run(node.payload["intent"]))
 
 
@@ -186,6 +190,8 @@ def _merge(node, inputs, ctx: Context) -> Value:
 
 def _write(node, inputs, ctx: Context) -> Value:
     live = [v for v in inputs if v.kind != "void"]
+    if ctx.grants is not None:
+        ctx.grants.check_payload(node.payload)
     return Value("tabular", ctx.store.apply(node.payload, live[0].table(ctx.spark) if live else None))
 
 
@@ -506,3 +512,47 @@ def _items(value: Value, spark: SparkSession, limit: int):
                 yield v.data, v
     elif value.kind == "scalar":
         yield value.data, value
+
+
+def preflight(graph: Graph, catalog: Any) -> list[str]:
+    """What the catalog says against the query and write nodes, before any runs."""
+    from weftline.plans.intent import IntentError, validate
+    from weftline.sources.writes import validate_write
+
+    out = []
+    for name, node in graph.nodes.items():
+        p = node.payload
+        if node.kind == "query":
+            try:
+                validate(p["intent"], catalog)
+            except IntentError as e:
+                out += [f"{name}: {x}" for x in e.problems]
+        elif node.kind == "write":
+            static = p.get("staticValues") or {}
+            given = set(p.get("columns") or []) | set(p.get("columnAliases") or {})
+            mode = p["mode"] if p.get("columns") or not graph.inputs(name) else "update"  # rows are known only when they come
+            errors, _ = validate_write(catalog, p["table"], mode, given, static) if p["mode"] != "delete" or p["table"] not in catalog.tables else ([], [])
+            out += [f"{name}: {x}" for x in errors]
+            if p["mode"] in ("update", "delete") and not (p.get("whereColumns") or p.get("staticWhere") or p.get("wherePredicate")):
+                out.append(f"{name}: {p['mode']} without WHERE is refused")
+    return out
+
+
+class RunHistory:
+    """Runs of pipelines as an append-only table."""
+
+    SCHEMA = "run string, pipeline string, status string, at timestamp, ms long, errors map<string,string>, trace string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, graph: Graph, result: Result) -> str:
+        run = uuid.uuid4().hex
+        first, last = result.trace[0]["at"], result.trace[-1]["at"]
+        row = (run, graph.id, result.status, datetime.datetime.fromtimestamp(first), round((last - first) * 1000), result.errors, json.dumps(result.trace, default=str))
+        self.spark.createDataFrame([row], self.SCHEMA).write.mode("append").parquet(self.path)
+        return run
+
+    def read(self, pipeline: str | None = None) -> DataFrame:
+        df = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return df if pipeline is None else df.where(F.col("pipeline") == pipeline)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 MAX_IDS = 50
 TTL_SECONDS = 300
 #: Words that point at the last result.
-REFERENTIAL = re.compile(r"\b(those|these|them|that one|they|it|the same|previous|above|last (?:result|query|ones?))\b", re.I)
+REFERENTIAL = re.compile(r"\b(those|these|them|this|that|they|it|the same|previous|above|the (?:records?|rows?|results?|entr(?:y|ies)|items?)|last (?:result|query|ones?))\b", re.I)
 
 
 def is_referential(text: str) -> bool:

@@ -81,7 +81,7 @@ money = lambda expr: f"CAST(SUM(CAST({expr} AS DECIMAL(18,4))) AS DOUBLE)"  # no
 
 LI = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate")
 intent("scan_table", "SELECT * FROM nation", {"table": "nation", "columns": [{"field": "*"}]})
-intent("scan_predicate", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate < TIMESTAMP '1993-01-01'", {"table": "lineitem", "columns": cols(*LI), "filters": [{"field": "l_shipdate", "operator": "<", "expr": "TIMESTAMP '1993-01-01'"}]})
+intent("scan_predicate", "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_shipdate FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-06-01'", {"table": "lineitem", "columns": cols(*LI), "filters": [{"field": "l_shipdate", "operator": "<", "expr": "TIMESTAMP '1996-06-01'"}]})
 intent("scan_columns", "SELECT c_custkey, c_mktsegment FROM customer", {"table": "customer", "columns": cols("c_custkey", "c_mktsegment")})
 intent("project", "SELECT p_partkey AS id, p_name AS name, p_retailprice * 2 AS twice FROM part", {"table": "part", "columns": [{"field": "p_partkey", "alias": "id"}, {"field": "p_name", "alias": "name"}, {"field": "twice", "expr": "p_retailprice * 2", "alias": "twice"}]})
 intent("project_star", "SELECT * FROM region", {"table": "region", "columns": [{"field": "*"}]})
@@ -92,8 +92,10 @@ intent("pred_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%O%'"
 intent("pred_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')", {"table": "orders", "columns": cols("o_orderkey"), "filters": [flt("o_orderpriority", "IN", ["1-URGENT", "2-HIGH"])]})
 intent("pred_not_in", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')", {"table": "orders", "columns": cols("o_orderkey"), "filters": [flt("o_orderpriority", "NOT IN", ["1-URGENT", "2-HIGH"])]})
 intent("pred_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20", {"table": "part", "columns": cols("p_partkey"), "filters": [flt("p_size", "BETWEEN", [10, 20])]})
-intent("pred_is_null", "SELECT c_custkey FROM customer WHERE c_name IS NULL", {"table": "customer", "columns": cols("c_custkey"), "filters": [flt("c_name", "IS NULL")]})
-intent("pred_not_null", "SELECT c_custkey FROM customer WHERE c_name IS NOT NULL", {"table": "customer", "columns": cols("c_custkey"), "filters": [flt("c_name", "IS NOT NULL")]})
+NULLS = "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS c_name FROM customer"
+for word, how in (("is", "IS NULL"), ("not", "IS NOT NULL")):
+    Q[f"pred_{word}_null"] = lambda spark, d, how=how: Query(spark, lambda n: _load(spark, d)(n).selectExpr("c_custkey", "CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS c_name")).run({"table": "customer", "columns": cols("c_custkey"), "filters": [flt("c_name", how)]})
+    SQL[f"pred_{word}_null"] = f"SELECT c_custkey FROM ({NULLS}) WHERE c_name {how}"
 intent("pred_ci", "SELECT c_custkey FROM customer WHERE lower(c_mktsegment) = 'building'", {"table": "customer", "columns": cols("c_custkey"), "filters": [flt("c_mktsegment", "=", "Building", caseInsensitive=True)]})
 intent("pred_ci_like", "SELECT p_partkey FROM part WHERE p_type ILIKE '%o%'", {"table": "part", "columns": cols("p_partkey"), "filters": [flt("p_type", "LIKE", "%o%", caseInsensitive=True)]})
 intent("pred_expr", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' + INTERVAL 90 DAY", {"table": "orders", "columns": cols("o_orderkey"), "filters": [{"field": "o_orderdate", "operator": ">=", "expr": "TIMESTAMP '1995-01-01' + INTERVAL 90 DAYS"}]})
@@ -116,6 +118,13 @@ def pred_value_ref(spark, d):
     return Query(spark, load, refs={"buyers": found}).run({"table": "orders", "columns": cols("o_orderkey"), "filters": [{"field": "o_custkey", "operator": "IN", "valueRef": "buyers.c_custkey"}]})
 
 
+@query("pred_value_ref_not_in", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY')")
+def pred_value_ref_not_in(spark, d):
+    load = _load(spark, d)
+    found = load("customer").where("c_mktsegment = 'MACHINERY'").select("c_custkey")
+    return Query(spark, load, refs={"buyers": found}).run({"table": "orders", "columns": cols("o_orderkey"), "filters": [{"field": "o_custkey", "operator": "NOT IN", "valueRef": "buyers.c_custkey"}]})
+
+
 # --- joins ---------------------------------------------------------------------
 
 on = lambda a, b: {"left": a, "right": b}
@@ -149,7 +158,7 @@ intent("agg_avg", "SELECT p_brand, AVG(p_size) AS mean FROM part GROUP BY 1", {"
 intent("agg_min", "SELECT c_mktsegment, MIN(c_acctbal) AS low, MIN(c_name) AS first FROM customer GROUP BY 1", {"table": "customer", "columns": [{"field": "c_mktsegment"}, {"field": "c_acctbal", "agg": "MIN", "alias": "low"}, {"field": "c_name", "agg": "MIN", "alias": "first"}], "groupBy": ["c_mktsegment"]})
 intent("agg_max", "SELECT c_mktsegment, MAX(c_acctbal) AS high FROM customer GROUP BY 1", {"table": "customer", "columns": [{"field": "c_mktsegment"}, {"field": "c_acctbal", "agg": "MAX", "alias": "high"}], "groupBy": ["c_mktsegment"]})
 intent("agg_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1 HAVING COUNT(*) > 15", {"table": "orders", "columns": cols("o_custkey"), "groupBy": ["o_custkey"], "aggregations": [{"fn": "COUNT", "expr": "*", "alias": "n"}], "having": [flt("n", ">", 15)]})
-intent("agg_fn_expr", "SELECT o_custkey, COALESCE(MAX(o_totalprice), 0) AS top FROM orders GROUP BY 1", {"table": "orders", "columns": cols("o_custkey"), "groupBy": ["o_custkey"], "aggregations": [{"fn": "MAX", "expr": "o_totalprice", "alias": "top"}]})
+intent("agg_fn_expr", "SELECT o_custkey, COALESCE(COUNT(o_orderstatus), 0) * 2 AS twice, MAX(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS top FROM orders GROUP BY 1", {"table": "orders", "columns": cols("o_custkey"), "groupBy": ["o_custkey"], "aggregations": [{"fn": "COUNT", "expr": "COALESCE(COUNT(o_orderstatus), 0) * 2", "alias": "twice"}, {"fn": "MAX", "expr": "CASE WHEN o_orderstatus = 'F' THEN o_orderkey END", "alias": "top"}]})
 intent("group_rule", "SELECT c_nationkey, n_name, COUNT(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2", {"table": "customer", "columns": [{"field": "c_nationkey"}, {"field": "n_name", "table": "nation"}], "joins": [{"table": "nation"}], "groupBy": ["c_nationkey"], "aggregations": [{"fn": "COUNT", "expr": "*", "alias": "n"}]})
 intent("distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", {"table": "orders", "columns": cols("o_orderstatus", "o_orderpriority"), "distinct": True})
 FLAGSHIP = {
@@ -399,12 +408,15 @@ def vector_topk(spark, d):
     return topk(e, q, 5, where=F.col("vec_id") != 0, tie="vec_id").select("vec_id")
 
 
-@query("cache_stats", "SELECT count(*) AS entries, count(*) FILTER (WHERE label > 3) AS valid, CAST(sum(label) AS BIGINT) AS hits FROM embeddings")
+@query("cache_stats", "SELECT 'all' AS part, count(*) AS entries, count(*) FILTER (WHERE label > 3) AS valid, CAST(sum(label) AS BIGINT) AS hits FROM embeddings UNION ALL (SELECT 'top ' || vec_id, NULL, NULL, CAST(label AS BIGINT) FROM embeddings ORDER BY label DESC, vec_id LIMIT 5)")
 def cache_stats(spark, d):
     from weftline.operators.vector import SemanticCache
 
     e = _load(spark, d)("embeddings")
-    return SemanticCache(e.select((F.col("label") > 3).alias("valid"), F.col("label").alias("hits"))).stats()
+    c = SemanticCache(e.select(F.col("vec_id").alias("id"), (F.col("label") > 3).alias("valid"), F.col("label").cast("long").alias("hits")))
+    none = F.lit(None).cast("long")
+    top = c.top().select(F.concat(F.lit("top "), F.col("id").cast("string")).alias("part"), none.alias("entries"), none.alias("valid"), "hits")
+    return c.stats().select(F.lit("all").alias("part"), "*").unionByName(top)
 
 
 @query("cache_invalidate", "SELECT vec_id, label > 3 AND label <> 5 AS valid FROM embeddings")

@@ -60,3 +60,20 @@ def schema_of(df: DataFrame) -> list[dict]:
 
 def exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
+
+
+TEMP_PREFIX = "tmp_"
+
+
+def create_temp(df: DataFrame, name: str) -> str:
+    """A view of the session under a name with the prefix for such tables."""
+    name = name if name.startswith(TEMP_PREFIX) else TEMP_PREFIX + name
+    df.createOrReplaceTempView(name)
+    return name
+
+
+def drop_temp(spark: SparkSession, name: str) -> bool:
+    """Drop a view of ``create_temp``; other tables are refused."""
+    if not name.startswith(TEMP_PREFIX):
+        raise ValueError(f"'{name}' is no temporary table")
+    return spark.catalog.dropTempView(name)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 import uuid
 from collections.abc import Mapping
 from typing import Any
@@ -25,6 +26,10 @@ class WriteError(ValueError):
     pass
 
 
+class WriteConflict(WriteError):
+    """Another writer changed the table in between."""
+
+
 # --- predicates -------------------------------------------------------------
 
 
@@ -65,8 +70,22 @@ def predicate_column(p: Mapping) -> Column:
     raise WriteError(f"Unknown predicate: {kind}")
 
 
-def static_value(value: Any) -> Column:
-    return SQL_VALUES[value.upper()]() if isinstance(value, str) and value.upper() in SQL_VALUES else F.lit(value)
+_TEMPLATE = re.compile(r"\{\{\s*([\w.$]+)\s*\}\}")
+
+
+def static_value(value: Any, rows: DataFrame | None = None) -> Column:
+    """A constant, a current time, or ``{{field}}``: that field of the source row."""
+    if not isinstance(value, str):
+        return F.lit(value)
+    if value.upper() in SQL_VALUES:
+        return SQL_VALUES[value.upper()]()
+    m = _TEMPLATE.fullmatch(value.strip())
+    if m is None:
+        return F.lit(value)
+    if rows is None:
+        raise WriteError(f"'{value}' needs source rows")
+    _need(rows, [m[1]])
+    return F.col(f"`{m[1]}`")
 
 
 # --- new tables -------------------------------------------------------------
@@ -91,7 +110,7 @@ def _shaped(rows: DataFrame, target: DataFrame, static: Mapping[str, Any], alias
     out = []
     for f in target.schema:
         if f.name in static:
-            c = static_value(static[f.name])
+            c = static_value(static[f.name], rows)
         elif f.name in rows.columns and (wanted is None or f.name in wanted):
             c = F.col(f"`{f.name}`")
         elif aliases.get(f.name) in rows.columns:
@@ -133,7 +152,7 @@ def _columns_of(rows: DataFrame, target: DataFrame, shape: Mapping) -> list[Colu
     static, aliases = shape.get("static") or {}, shape.get("aliases") or {}
     out = []
     for f in target.schema:
-        c = static_value(static[f.name]) if f.name in static else F.col(f"`{f.name}`") if f.name in rows.columns else F.col(f"`{aliases[f.name]}`") if aliases.get(f.name) in rows.columns else F.lit(None)
+        c = static_value(static[f.name], rows) if f.name in static else F.col(f"`{f.name}`") if f.name in rows.columns else F.col(f"`{aliases[f.name]}`") if aliases.get(f.name) in rows.columns else F.lit(None)
         out.append(c.cast(f.dataType).alias(f.name))
     return out
 
@@ -143,7 +162,7 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], update: list[str
     if not keys:
         raise WriteError("upsert needs conflict columns")
     static = static or {}
-    rows = rows.select("*", *[static_value(v).alias(k) for k, v in static.items() if k not in rows.columns])
+    rows = rows.select("*", *[static_value(v, rows).alias(k) for k, v in static.items() if k not in rows.columns])
     given = [c for c in target.columns if c in rows.columns]
     update = [c for c in (update or given) if c not in keys and c in given]
     if not update:
@@ -278,7 +297,7 @@ def validate_write(catalog: Catalog, table: str, mode: str, given: set[str], sta
             if not i.nullable:
                 errors.append(f"Column '{c}' must not be null")
             continue
-        if isinstance(v, str) and v.upper() in SQL_VALUES:
+        if isinstance(v, str) and (v.upper() in SQL_VALUES or _TEMPLATE.fullmatch(v.strip())):
             continue
         try:
             coerce_value(v, i.type, i.enum)
@@ -298,7 +317,7 @@ def fix_enums(info: TableInfo, static: Mapping[str, Any], repair: bool = False)
     out = {}
     for c, v in static.items():
         i = info.columns.get(c)
-        if i is None or not i.enum or v is None:
+        if i is None or not i.enum or v is None or isinstance(v, str) and _TEMPLATE.fullmatch(v.strip()):
             out[c] = v
             continue
         try:
@@ -343,55 +362,159 @@ def missing_keys(target_refs: Mapping[str, DataFrame], catalog: Catalog, table:
     return out if out is not None else rows.sparkSession.createDataFrame([], "column string, value string")
 
 
+def key_aliases(catalog: Catalog, table: str, rows: DataFrame, static: Mapping[str, Any]) -> dict[str, str]:
+    """Foreign key columns that the rows lack -> the referenced column that they have."""
+    out = {}
+    for column, (ref, ref_column) in catalog.write_columns(table).items():
+        if column in rows.columns or column in static:
+            continue
+        names = [ref_column] if ref_column != "id" else [f"{ref}_id", f"{ref.removesuffix('s')}_id", "id"]
+        hit = next((n for n in names if n in rows.columns and (n == ref_column or n not in catalog.tables[table].columns)), None)
+        if hit is not None:
+            out[column] = hit
+    return out
+
+
+def resolve_keys(rows: DataFrame, column: str, ref: DataFrame, ref_key: str, name: str) -> DataFrame:
+    """The rows with names in a foreign key column replaced by the referenced key.
+
+    Numbers stay; a name is looked up in the other source without regard to case,
+    the smallest key of several; a name that isn't there becomes null.
+    """
+    low = F.lower(F.trim(F.col(f"`{column}`").cast("string")))
+    found = ref.groupBy(F.lower(F.trim(F.col(f"`{name}`"))).alias("_name")).agg(F.min(F.col(f"`{ref_key}`")).alias("_key"))
+    kind = ref.schema[ref_key].dataType
+    both = rows.join(found, (low == F.col("_name")) & ~low.rlike(r"^-?\d+$"), "left")
+    value = F.when(low.rlike(r"^-?\d+$"), F.col(f"`{column}`").cast(kind)).otherwise(F.col("_key"))
+    return both.select(*[value.alias(c) if c == column else F.col(f"`{c}`") for c in rows.columns])
+
+
+#: Tables whose repeated inserts a caller may want ignored.
+LOG_TABLE = re.compile(r"_log|_audit|notification")
+
+
 # --- the store --------------------------------------------------------------
 
 
 class Store:
-    """Tables as parquet folders under a path, each version in a folder of its
-    own; a pointer file names the current one."""
+    """Tables as parquet folders under a path, each version in a folder of its own.
+
+    The highest version is current. A writer stages its version, claims the next
+    number by creating a file that may not exist, and renames the staged folder to
+    it: readers see the old version whole or the new one whole. A writer whose table
+    changed since it read it fails. The last ``KEEP`` versions stay for readers that
+    still use them.
+    """
+
+    KEEP = 2
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, catalog: Catalog | None = None, session: Mapping[str, Any] | None = None, cursor: Any = None):
+        """With a ``catalog``, writes are completed and checked against it; values of
+        ``session`` are set; ``cursor`` gives the rows of a write without input."""
         self.spark, self.path = spark, path.rstrip("/")
+        self.catalog, self.session, self.cursor = catalog, session or {}, cursor
+        self.warnings: list[str] = []
         jvm = spark._jvm
-        self._root = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._jvm = jvm
+        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
 
-    def _pointer(self, table: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}/_CURRENT")
+    def _numbers(self, table: str, kind: str) -> list[int]:
+        at = self._path(table)
+        names = [x.getPath().getName() for x in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[1:]) for n in names if n[0] == kind and n[1:].isdigit())
 
-    def exists(self, table: str) -> bool:
-        return self._fs.exists(self._pointer(table))
+    def version(self, table: str) -> int:
+        """The current version; 0 is none."""
+        return max(self._numbers(table, "v"), default=0)
 
-    def _version(self, table: str) -> str:
-        with_stream = self._fs.open(self._pointer(table))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
-        finally:
-            with_stream.close()
+    def exists(self, table: str) -> bool:
+        return self.version(table) > 0
 
     def load(self, spark: SparkSession, table: str) -> DataFrame:
-        if not self.exists(table):
+        now = self.version(table)
+        if not now:
             raise WriteError(f"Table '{table}' does not exist")
-        return self.spark.read.parquet(f"{self.path}/{table}/{self._version(table)}")
-
-    def replace(self, table: str, df: DataFrame) -> None:
-        """Write the new version whole, then move the pointer to it."""
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.path}/{table}/{version}")
-        out = self._fs.create(self._pointer(table), True)
-        try:
-            out.write(bytearray(version.encode()))
-        finally:
-            out.close()
+        return self.spark.read.parquet(f"{self.path}/{table}/v{now:012d}")
+
+    def replace(self, table: str, df: DataFrame, base: int | None = None) -> int:
+        """Make ``df`` the table's next version, if it is still at ``base``."""
+        staged = f"s-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{table}/{staged}")
+        number = max([0, *self._numbers(table, "v"), *self._numbers(table, "c")]) + 1
+        claimed = self._fs.createNewFile(self._path(table, f"c{number:012d}"))
+        if not claimed or base is not None and self.version(table) != base:
+            self._fs.delete(self._path(table, staged), True)
+            raise WriteConflict(f"Table '{table}' was changed by another writer")
+        if not self._fs.rename(self._path(table, staged), self._path(table, f"v{number:012d}")):
+            raise WriteError(f"Version {number} of '{table}' could not be put in place")
+        for n in self._numbers(table, "v")[: -self.KEEP]:
+            self._fs.delete(self._path(table, f"v{n:012d}"), True)
+        for n in self._numbers(table, "c")[:-1]:
+            self._fs.delete(self._path(table, f"c{n:012d}"), False)
+        return number
+
+    def _staged(self, rows: DataFrame) -> DataFrame:
+        """The rows, fixed: the write and its count see the same ones."""
+        path = f"{self.path}/_rows/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def prepared(self, payload: Mapping, rows: DataFrame | None) -> dict:
+        """The payload with what the catalog and the session say: log tables, enum
+        values, immutable columns, set values, key aliases; raises where it is wrong."""
+        out = dict(payload)
+        table, mode = out["table"], out["mode"]
+        if mode == "insert" and out.get("ignoreLogRepeats") and LOG_TABLE.search(table):
+            mode = out["mode"] = "insert_ignore"
+        if self.catalog is None:
+            return out
+        info = self.catalog.require(table)
+        static = fix_enums(info, out.get("staticValues") or {}, bool(out.get("repair")))
+        if mode == "update":
+            from weftline.plans.ddl import immutable_columns
+
+            fixed = immutable_columns(info) - set(out.get("whereColumns") or [])
+            static = {c: v for c, v in static.items() if c not in fixed}
+            if out.get("columns"):
+                out["columns"] = [c for c in out["columns"] if c not in fixed]
+            elif rows is not None:
+                out["columns"] = [c for c in rows.columns if c in info.columns and c not in fixed]
+        if mode != "delete":
+            static |= injected(info, "insert" if mode == "insert_ignore" else mode, self.session)
+        given: set[str] = set()
+        if rows is not None and mode != "delete":
+            if mode != "update":
+                out["columnAliases"] = key_aliases(self.catalog, table, rows, static) | dict(out.get("columnAliases") or {})
+            aliased = {c for c, a in (out.get("columnAliases") or {}).items() if a in rows.columns}
+            wanted = out.get("columns") or [c for c in rows.columns if c in info.columns]
+            for c in wanted:
+                if c not in rows.columns and c not in aliased and c not in static:
+                    self.warnings.append(f"Column '{c}' can't be resolved and is left out")
+            given = {c for c in wanted if c in rows.columns} | aliased
+            if out.get("columns"):
+                out["columns"] = [c for c in wanted if c in given or c in static]
+        errors, warnings = validate_write(self.catalog, table, mode, given, static) if mode != "delete" else ([], [])
+        self.warnings += warnings
+        if errors:
+            raise WriteError("; ".join(errors))
+        out["staticValues"] = static
+        return out
 
     def apply(self, payload: Mapping, rows: DataFrame | None, ordinal: list[str] | None = None) -> DataFrame:
         """Run a write payload; the result is its summary, or the rows of an insert."""
+        rows = None if rows is None else self._staged(rows)
+        payload = self.prepared(payload, rows)
         table, mode = payload["table"], payload["mode"]
+        base = self.version(table)
         target = self.load(self.spark, table)
         static = dict(payload.get("staticValues") or {})
         where = payload.get("wherePredicate") or build_predicate(payload.get("staticWhere"))
         keys = list(payload.get("whereColumns") or [])
+        if mode in ("update", "delete") and where is None and keys and self.cursor is not None and (rows is None or rows.isEmpty()):
+            # No input: the rows of the session's last result, which then is used up.
+            rows = target.where(self.cursor.where()).select(*keys).distinct()
+            rows = self._staged(rows)
+            self.cursor.clear()
         if mode == "delete" and "deleted_at" in target.columns:
             if where is not None:
                 stamps = {c: "NOW()" for c in ("deleted_at", "updated_at") if c in target.columns}
@@ -406,14 +529,14 @@ class Store:
         elif mode == "update":
             if where is not None:
                 new, hit = update_static(target, static, where), target.where(predicate_column(where))
-            elif rows is not None and static and not [c for c in rows.columns if c in (payload.get("columns") or []) and c not in keys]:
+            elif rows is not None and static and not any(isinstance(v, str) and _TEMPLATE.fullmatch(v.strip()) for v in static.values()) and not [c for c in rows.columns if c in (payload.get("columns") or []) and c not in keys]:
                 if not keys:
                     raise WriteError("UPDATE without WHERE is refused")
                 new, hit = update_any(target, rows, keys[0], static), _hit(target, rows, keys[:1])
             else:
                 if rows is None:
                     raise WriteError("UPDATE without WHERE is refused")
-                given = rows.select("*", *[static_value(v).alias(k) for k, v in static.items() if k not in rows.columns])
+                given = rows.select("*", *[static_value(v, rows).alias(k) for k, v in static.items() if k not in rows.columns])
                 columns = [*(payload.get("columns") or []), *static] or None
                 new, hit = update_rows(target, given, keys, columns, ordinal), _hit(target, rows, keys)
         else:
@@ -428,10 +551,10 @@ class Store:
                 new = upsert(target, rows, list(payload.get("conflictColumns") or []), payload.get("updateColumns"), ordinal, static)
             else:
                 raise WriteError(f"Unknown write mode: {mode}")
-            self.replace(table, new)
+            self.replace(table, new, base)
             return rows
         n = hit.count()
-        self.replace(table, new)
+        self.replace(table, new, base)
         shown = json.dumps(where if where is not None else {"keys": keys}, default=str)
         return self.spark.createDataFrame([(table, mode, n, shown, json.dumps(static, default=str))], "table string, operation string, rows_affected long, where string, set string")
 
