@@ -30,7 +30,8 @@ def apply_operations(
     ``order`` says which row is first before any sort; without one, dedup keeps
     the first in the order of all columns, so results don't depend on partitions.
     """
-    for o in operations:
+    operations = list(operations)
+    for n, o in enumerate(operations):
         compile_ = Compiler(columns_resolver(df.columns), scope, functions, options)
         kind = o["kind"]
         if kind == "addField":
@@ -47,7 +48,8 @@ def apply_operations(
             df = df.where(compile_(o["predicate"]))
         elif kind == "sortRows":
             order = [sort_key(compile_(k["expr"]), k.get("direction", "ASC"), k.get("nulls"), "FIRST" if k.get("direction") == "DESC" else "LAST") for k in o["keys"]]
-            df = df.orderBy(*order)
+            if not (n + 1 < len(operations) and operations[n + 1]["kind"] == "dedup"):  # a dedup deals the rows anew
+                df = df.orderBy(*order)
         elif kind == "dedup":
             df = dedup(df, o["on"], order)
         elif kind == "limit":

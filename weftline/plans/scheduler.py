@@ -54,6 +54,10 @@ class Budget:
         if used > getattr(self, f"max_{what}"):
             raise BudgetExceeded(f"{what}: {used} of {getattr(self, f'max_{what}')}")
 
+    def spend_rows(self, what: str, df: DataFrame) -> None:
+        """Spend one for each row; no more rows are counted than are left."""
+        self.spend(what, df.limit(max(0, getattr(self, f"max_{what}") - getattr(self, what)) + 1).count())
+
     def left(self) -> float:
         return self.timeout_s - (time.monotonic() - self.started)
 
@@ -109,6 +113,7 @@ class Context:
     listener: Callable[[dict], None] | None = None
     catalog: Any = None
     grants: Any = None
+    cached: list[DataFrame] = field(default_factory=list)
 
     def event(self, what: str, node: str, **more: Any) -> None:
         e = {"event": what, "node": node, "at": time.time(), **more}
@@ -118,7 +123,7 @@ class Context:
 
     def child(self, **names: Any) -> Context:
         """A scope that sees this one's names; its own stay inside."""
-        return Context(self.spark, self.load, self.params, ChainMap(names, self.scope), self.budget, self.functions, self.options, dict(self.outputs), self.trace, self.llm, self.http, self.store, self.listener, self.catalog, self.grants)
+        return Context(self.spark, self.load, self.params, ChainMap(names, self.scope), self.budget, self.functions, self.options, dict(self.outputs), self.trace, self.llm, self.http, self.store, self.listener, self.catalog, self.grants, self.cached)
 
     def refs(self) -> dict[str, Any]:
         out = dict(self.scope)
@@ -199,7 +204,7 @@ def _llm(node, inputs, ctx: Context) -> Value:
     from weftline.operators.enrich import llm_map
 
     df = inputs[0].table(ctx.spark)
-    ctx.budget.spend("llm_calls", df.count())
+    ctx.budget.spend_rows("llm_calls", df)
     return Value("tabular", llm_map(df, node.payload, ctx.llm))
 
 
@@ -207,7 +212,7 @@ def _http(node, inputs, ctx: Context) -> Value:
     from weftline.operators.enrich import http_map
 
     df = inputs[0].table(ctx.spark)
-    ctx.budget.spend("http_calls", df.count())
+    ctx.budget.spend_rows("http_calls", df)
     return Value("tabular", http_map(df, node.payload, ctx.http))
 
 
@@ -225,6 +230,13 @@ class Result:
     trace: list[dict]
     errors: dict[str, str]
     spark: SparkSession
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Let go of what error policies kept; the tables stay readable."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached.clear()
 
     def table(self, node: str = "_output") -> DataFrame:
         return self.outputs[node].table(self.spark)
@@ -258,7 +270,7 @@ class Scheduler:
                 handlers = [c.target for c in graph.edges if c.source == name and c.kind == "control" and c.condition == "error"]
                 if not handlers:
                     ctx.event("pipeline_error", name)
-                    return Result("failed", ctx.outputs, ctx.trace, errors, ctx.spark)
+                    return Result("failed", ctx.outputs, ctx.trace, errors, ctx.spark, ctx.cached)
                 status, value = "partial", VOID
             ctx.outputs[name] = value
             if graph.nodes[name].kind == "parallel":
@@ -266,7 +278,7 @@ class Scheduler:
         if any(e["event"] == "skipped_on_error" for e in ctx.trace):
             status = "partial"
         ctx.event("pipeline_complete", "", status=status)
-        return Result(status, ctx.outputs, ctx.trace, errors, ctx.spark)
+        return Result(status, ctx.outputs, ctx.trace, errors, ctx.spark, ctx.cached)
 
     # -- control flow
 
@@ -334,7 +346,7 @@ class Scheduler:
     @staticmethod
     def _forced(value: Value, ctx: Context) -> Value:
         if value.kind in ("tabular", "record"):
-            value.data.persist()
+            ctx.cached.append(value.data.persist())
             value.data.count()
         return value
 
@@ -471,10 +483,13 @@ class Scheduler:
         live = [r for r in results if r.kind != "void"]
         if kind == "collect":
             return Value("collection", live)
-        records = []
-        for r in live:
-            rows = r.table(ctx.spark).limit(1).collect()
-            records.append(rows[0].asDict(True) if rows else {})
+        tables = [r.table(ctx.spark) for r in live]
+        records: list[dict[str, Any]] = [{} for _ in tables]
+        same = len({t.schema.simpleString() for t in tables}) == 1
+        parts = [t.limit(1).select(F.lit(i).alias("_i"), F.struct("*").alias("_r")) for i, t in enumerate(tables) if t.columns]
+        for part in [union_all(parts)] if same and parts else parts:  # one job where the tables are alike
+            for i, r in part.collect():
+                records[i] = r.asDict(True)
         if kind == "merge":
             merged: dict[str, Any] = {}
             for r in records:
