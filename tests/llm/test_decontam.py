@@ -49,12 +49,12 @@ def fixture():
     return docs, items
 
 
-@pytest.mark.parametrize("limit", [20_000, 7])
+@pytest.mark.parametrize("limit", [(20_000, 1000), (7, 1000), (20_000, 2), (7, 2)])
 def test_against_plain_scan(spark, limit):
     docs, items = fixture()
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("exact", F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(map(tuple, decontam.find(spark, d, b, set_limit=limit).collect()), key=repr)
+    got = sorted(map(tuple, decontam.find(spark, d, b, set_limit=limit[0], hit_limit=limit[1]).collect()), key=repr)
     assert got == brute(docs, items)
 
 

@@ -3,8 +3,8 @@
 The benchmark's normalised word windows form a hash set that every executor
 gets by a broadcast join. Its size is checked: beyond ``set_limit`` windows the
 hashes of the positions are shuffled to the windows instead. Either way the
-documents are read for their positions once, whatever the benchmark's size. Every
-document position looks up the hash of its window in the set; hits are then
+documents are hashed once, whatever the benchmark's size. Every document position
+looks up the hash of its window in the set; hits go back to their texts and are
 verified word by word against the exact window before they count.
 
 Words: the text in lower case (A-Z only), runs of characters outside ASCII
@@ -21,14 +21,18 @@ documents are ignored by ``find`` and kept by ``remove_documents`` and
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm._common import free_name
+from weftline.llm._common import free_name, materialize
 
 WINDOW = 10
 #: Windows of a benchmark that is broadcast; some 200 bytes each.
 SET_LIMIT = 200_000
+#: Hits that are broadcast to the documents; some 150 bytes each.
+HIT_LIMIT = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Characters that are no part of a word, before lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -74,17 +78,55 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame,
     return rows.groupBy("wh", "len", "exact").agg(F.collect_set(F.col("item_id").cast("string")).alias("items")), lengths
 
 
-def _key(hashes: F.Column, lengths: list[int], size: F.Column, x: F.Column) -> tuple[F.Column, F.Column, F.Column]:
-    """Hash, start and length of window ``x`` of a text: all starts for the first
-    length, then for the next. The hash is null where the text ends before."""
-    n = F.greatest(size, F.lit(1))
-    which, i = F.floor(x / n).cast("int"), F.pmod(x, n)
-    key, k = F.lit(None).cast("long"), F.lit(0)
-    for at, length in enumerate(lengths):
-        here = (x >= 0) & (which == at)
-        key = F.when(here & (i + length <= size), _window_hash(hashes, length, i)).otherwise(key)
-        k = F.when(here, length).otherwise(k)
-    return key, i.cast("int"), k
+def _hits(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int, set_limit: int) -> DataFrame:
+    """A written table: a row (doc_id, text_hash, n_words) for each document, and one
+    (doc_id, text_hash, i, k, exact, items) for each position whose hash the set has."""
+    wins, lengths = benchmark_windows(benchmark, n)
+    sizes = sorted(lengths, reverse=True)
+    # Generators of one row each: the optimizer doesn't move the arrays across
+    # them into the expressions that read them at every position.
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(words(F.col("text")))).alias("w"))
+    hashed = base.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.explode(F.array(_hash_words(F.col("w")))).alias("h"))
+    # All hashes for the first length, then for the next. Exploded rows carry no array.
+    keys = [F.lit(None).cast("array<long>")]
+    first, at, starts = F.lit(1), F.col("pos"), []
+    for k in sizes:
+        many = F.greatest(F.col("n_words") - k + 1, F.lit(0))
+        made = F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), partial(_window_hash, F.col("h"), k))
+        keys.append(F.when(many > 0, made).otherwise(F.array().cast("array<long>")))
+        starts.append((k, first))
+        first = first + many
+    every = F.concat(F.array(F.lit(None).cast("long")), *keys[1:])  # the first stands for the document
+    rows = hashed.select("doc_id", "text_hash", "n_words", F.posexplode(every).alias("pos", "key"))
+    k, i = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for length, start in starts:
+        k = F.when(at >= start, length).otherwise(k)
+        i = F.when(at >= start, at - start).otherwise(i)
+    rows = rows.select("doc_id", "text_hash", "n_words", "pos", "key", i.cast("int").alias("i"), k.cast("int").alias("k"))
+    probe = wins.select("wh", "exact", "items")
+    if sum(lengths.values()) <= set_limit:
+        found = rows.join(F.broadcast(probe), rows["key"] == probe["wh"], "left").where("pos = 0 or wh is not null")
+    else:
+        found = rows.where("pos > 0").join(probe.hint("merge"), rows["key"] == probe["wh"])
+        alone = base.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.lit(0).alias("pos"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("int").alias("k"))
+        found = found.select("doc_id", "text_hash", "n_words", "pos", "i", "k", "exact", "items").unionByName(alone, allowMissingColumns=True)
+    return materialize(spark, found.select("doc_id", "text_hash", "n_words", "pos", "i", "k", "exact", "items"), "windows")
+
+
+def _verified(docs: DataFrame, hits: DataFrame, hit_limit: int) -> DataFrame:
+    """(doc_id, text_hash, spans, items) of texts whose words are those of a window."""
+    # As many as a document has positions.
+    per = hits.where("pos > 0").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("i", "k", "exact", "items")).alias("found"))
+    per = per.toDF("_id", "_th", "_found")
+    few = hits.where("pos > 0").limit(hit_limit + 1).count() <= hit_limit
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    both = texts.join(F.broadcast(per) if few else per.hint("merge"), texts["doc_id"].eqNullSafe(per["_id"]) & (texts["text_hash"] == per["_th"]))
+    both = both.select("doc_id", "text_hash", "_found", F.explode(F.array(words(F.col("text")))).alias("w"))
+    own = lambda f: ascii_lower(F.concat_ws(" ", F.slice(F.col("w"), f["i"] + 1, f["k"])))
+    both = both.select("doc_id", "text_hash", F.filter("_found", lambda f: own(f) == f["exact"]).alias("f"))
+    spans = F.array_sort(F.array_distinct(F.transform("f", lambda f: F.struct(f["i"].alias("i"), (f["i"] + f["k"]).alias("e")))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("f", lambda f: f["items"]))))
+    return both.where(F.size("f") > 0).select("doc_id", "text_hash", spans.alias("spans"), items.alias("items")).dropDuplicates(["doc_id", "text_hash"])
 
 
 def find(
@@ -93,50 +135,21 @@ def find(
     benchmark: DataFrame,
     n: int = WINDOW,
     set_limit: int = SET_LIMIT,
+    hit_limit: int = HIT_LIMIT,
     with_spans: bool = False,
 ) -> DataFrame:
     """Per document row: n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A benchmark of over ``set_limit`` windows isn't broadcast. With ``with_spans``
+    A benchmark of over ``set_limit`` windows isn't broadcast, nor are over
+    ``hit_limit`` hits when they go back to the words. With ``with_spans``
     the hit word ranges and ``text_hash`` are returned too; a row is known by
     (doc_id, text_hash), so rows that repeat a doc_id don't mix.
     """
-    wins, lengths = benchmark_windows(benchmark, n)
-    sizes = sorted(lengths, reverse=True)
-    # Generators of one row each: the optimizer doesn't move the arrays across
-    # them into the expressions that read them at every position.
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array(words(F.col("text")))).alias("w"))
-    hashed = base.select("doc_id", "text_hash", "w", F.explode(F.array(_hash_words(F.col("w")))).alias("h"))
-    size = F.size("w")
-    # Position -1 stands for the document itself.
-    at = hashed.select("doc_id", "text_hash", "w", "h", F.explode(F.sequence(F.lit(-1), size * len(sizes) - 1)).alias("x"))
-    key, i, k = _key(F.col("h"), sizes, size, F.col("x"))
-    own = F.transform(F.sequence(F.lit(0), F.greatest(F.col("k") - 1, F.lit(0))), lambda j: F.get(F.col("w"), F.col("i") + j))
-    exact = ascii_lower(F.concat_ws(" ", own)) == F.col("exact")
-    span = F.struct("i", (F.col("i") + F.col("k")).alias("e"))
-    none = F.lit(None).cast("struct<i:int,e:int>")
-    whole = F.lit(None).cast("array<string>")
-    probe = wins.select("wh", "exact", "items")
-    if sum(lengths.values()) <= set_limit:
-        m = at.select("doc_id", "text_hash", "w", "x", key.alias("key"), i.alias("i"), k.alias("k")).where("x < 0 or key is not null")
-        m = m.join(F.broadcast(probe), m["key"] == probe["wh"], "left").where((F.col("x") < 0) | (F.col("wh").isNotNull() & exact))
-        self_row = F.col("x") < 0
-        rows = m.select("doc_id", "text_hash", F.when(self_row, size).cast("long").alias("n_words"), F.when(~self_row, span).alias("span"), "items")
-    else:
-        m = at.select("doc_id", "text_hash", key.alias("key"), i.alias("i"), k.alias("k")).where("key is not null")
-        m = m.join(probe.hint("merge"), m["key"] == probe["wh"]).select("doc_id", "text_hash", "i", "k", "exact", "items")
-        # Few positions are left: their texts' words are fetched.
-        texts = base.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "w").dropDuplicates(["_id", "_th"])
-        m = m.join(texts, m["doc_id"].eqNullSafe(texts["_id"]) & m["text_hash"].eqNullSafe(texts["_th"])).where(exact)
-        m = m.select("doc_id", "text_hash", F.lit(None).cast("long").alias("n_words"), span.alias("span"), "items")
-        rows = base.select("doc_id", "text_hash", size.cast("long").alias("n_words"), none.alias("span"), whole.alias("items")).unionByName(m)
-    # Both sets have a bound: a document's positions, and the benchmark's items.
-    found = rows.groupBy("doc_id", "text_hash").agg(
-        F.max("n_words").alias("n_words"),
-        F.count("n_words").cast("int").alias("copies"),
-        F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    hits = _hits(spark, docs, benchmark, n, set_limit)
+    sure = _verified(docs, hits, hit_limit).toDF("_id", "_th", "spans", "items")
+    rows = hits.where("pos = 0").select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"))
+    same = rows["doc_id"].eqNullSafe(sure["_id"]) & rows["text_hash"].eqNullSafe(sure["_th"])
+    rows = rows.join(sure, same, "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<i:int,e:int>>"))).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
@@ -146,7 +159,7 @@ def find(
         ),
         lambda a: a["n"],
     )
-    out = found.select(
+    return rows.select(
         "doc_id",
         "n_words",
         covered.alias("n_hit"),
@@ -154,9 +167,7 @@ def find(
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
         *(["spans", "text_hash"] if with_spans else []),
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"),
     )
-    return out.drop("_copy")
 
 
 def _bad(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, list[str]]:

@@ -250,9 +250,11 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows without an id all stay.
     """
-    rows = materialize(spark, _banded(docs), "near-rows")
+    # Other columns get names that clash with none of those added here.
+    names = [c if c in ("doc_id", "text") else f"x{i}" for i, c in enumerate(docs.columns)]
+    rows = materialize(spark, _banded(docs.toDF(*names)), "near-rows")
     groups = near_groups(spark, rows)
     first = rows.where(F.col("doc_id").isNotNull()).select("_set", "_uid", "doc_id").join(groups, "_set")
     first = first.groupBy("root").agg(F.min(F.struct("doc_id", "_uid")).alias("at")).select(F.col("at._uid").alias("_uid"))
-    one = rows.join(first, "_uid", "left_semi").select(*docs.columns)
-    return one.unionByName(rows.where(F.col("doc_id").isNull()).select(*docs.columns))
+    one = rows.join(first, "_uid", "left_semi").select(*names)
+    return one.unionByName(rows.where(F.col("doc_id").isNull()).select(*names)).toDF(*docs.columns)
