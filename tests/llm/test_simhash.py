@@ -83,6 +83,11 @@ def test_documents(spark):
     assert got == sorted((i, f"{fp[i]:016x}", want[i]) for i, _ in docs)
     kept = simhash.keep_one(spark, df)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == df.columns
+    # One id on two texts doesn't link them.
+    far = " ".join(rng.choice("klmnop") * 3 for _ in range(400))
+    two = [(1, text), (1, far), (2, text), (3, far), (None, "only without an id here")]
+    by = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.components(spark, spark.createDataFrame(two, "doc_id long, text string")).collect()}
+    assert set(by.values()) == {1, 2**63 - 1} and len(by) == 5
     none = df.where("false")
     assert simhash.components(spark, none).count() == 0 and simhash.keep_one(spark, none).count() == 0
 

@@ -150,9 +150,12 @@ def connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> Da
 def components(spark: SparkSession, docs: DataFrame, size: int = 3) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id."""
     fps = materialize(spark, fingerprints(docs, size), "simhash")
-    nodes = materialize(spark, fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(2**63 - 1)).alias("node")), "simhash-nodes")
-    roots = connected(spark, links(nodes))
-    label = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    # Fingerprints are the nodes, as rows of different texts may share a doc_id.
+    nodes = materialize(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
+    roots = connected(spark, links(nodes.select("fp", F.col("fp").alias("node"))))
+    label = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = label.groupBy("root").agg(F.coalesce(F.min("first"), F.lit(2**63 - 1)).alias("component_id"))
+    label = label.join(least, "root").select("fp", "component_id")
     return fps.join(label, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
