@@ -36,14 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
-def materialize(spark: SparkSession, df: DataFrame, tag: str) -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader over it.
 
     The written table cuts lineage, survives the loss of any executor and lets
     several later jobs read a result that is computed only once.
     """
     path = f"{shared_dir(spark)}/weftline/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

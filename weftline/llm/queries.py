@@ -21,7 +21,7 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, d: str) -> DataFrame:
-    return flac.digest(materialize(spark, flac.to_media(table(spark, d, "documents")), "media"))
+    return flac.digest(materialize(spark, flac.to_media(table(spark, d, "documents")), "media", "zstd"))
 
 
 def op5(spark: SparkSession, d: str) -> DataFrame:
