@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping
 from dataclasses import asdict, dataclass, field
-from typing import Any
+
 
 KINDS = ("query", "transform", "llm", "http", "write", "conditional", "loop", "merge", "parallel")
 INPUT, OUTPUT = "_input", "_output"

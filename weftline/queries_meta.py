@@ -18,7 +18,7 @@ from weftline.plans.graph import Graph, compile_intent
 from weftline.plans.intent import IntentError, Query, validate
 from weftline.plans.scheduler import Context, NodeRegistry, RunHistory, Scheduler, Value, default_nodes, preflight
 from weftline.plans.session import SessionCursor, is_referential
-from weftline.queries import KEYS, REGIONS, SQL, Q, _load, add, catalog, cols, flt, query, step
+from weftline.queries import REGIONS, SQL, Q, _load, add, catalog, cols, flt, query, step
 from weftline.sources import readers, writes
 
 __all__ = ["Q", "SQL"]
