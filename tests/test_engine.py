@@ -423,3 +423,42 @@ def test_sort_before_dedup_isnt_planned(spark):
     out = apply_operations(df, [{"kind": "sortRows", "keys": [{"expr": {"kind": "FieldRef", "field": "v"}, "direction": "DESC"}]}, {"kind": "dedup", "on": ["k"]}])
     assert sorted(map(tuple, out.collect())) == [(1, 5), (2, 4)]
     assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jdbc_reader(spark):
+    from weftline.sources import readers
+
+    url = "jdbc:derby:memory:weftline;create=true"
+    options = {"url": url, "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "id int, name string")
+    try:
+        rows.write.format("jdbc").options(**options, dbtable="things").save()
+    except Exception as e:  # no embedded database in this installation
+        if "ClassNotFound" in str(e) or "No suitable driver" in str(e):
+            pytest.skip("no embedded database")
+        raise
+    load = readers.jdbc(url, partition={"things": ("ID", 0, 20, 4)}, driver=options["driver"])
+    df = load(spark, "things")
+    assert df.count() == 20 and df.rdd.getNumPartitions() == 4
+    assert [r[1] for r in df.where("ID = 7").collect()] == ["n7"]
+
+
+def test_run_history_and_preflight(spark, tmp_path):
+    from weftline.plans.scheduler import RunHistory, preflight
+
+    load = lambda n: spark.createDataFrame([(1, "a")], "id int, x string")
+    graph = compile_intent({"description": "", "steps": [{"id": "q", "kind": "query", "description": "", "config": {"payload": {"intent": {"table": "t", "columns": [{"field": "id"}]}}}}]})
+    history = RunHistory(spark, str(tmp_path / "runs"))
+    run = history.append(graph, Scheduler().run(graph, Context(spark, load)))
+    row = history.read().first()
+    assert (row.run, row.status, row.errors) == (run, "success", {}) and "pipeline_complete" in row.trace
+    assert preflight(graph, Catalog()) == ["q: Table 't' not found in schema"]
+
+
+def test_grants_in_a_run(spark):
+    load = lambda n: spark.createDataFrame([(1, "a")], "id int, x string")
+    graph = compile_intent({"description": "", "steps": [{"id": "q", "kind": "query", "description": "", "config": {"payload": {"intent": {"table": "t", "columns": [{"field": "*"}]}}}}]})
+    seen = Scheduler().run(graph, Context(spark, load, grants=Grants({"t"}, {"t": {"id"}}))).table()
+    assert seen.columns == ["id"]
+    denied = Scheduler().run(graph, Context(spark, load, grants=Grants(set())))
+    assert denied.status == "failed" and "No read access to 't'" in denied.errors["q"]
