@@ -36,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_FALLBACK[app]
 
 
-def materialize(spark: SparkSession, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+def materialize(spark: SparkSession, df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader over it.
 
     The written table cuts lineage, survives the loss of any executor and lets

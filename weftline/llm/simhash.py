@@ -228,15 +228,21 @@ def near_groups(spark: SparkSession, rows: DataFrame) -> DataFrame:
     sets = materialize(spark, _sets(rows, met.select("a").distinct()), "near-sets")
     # First with the two ends of each bucket: one comparison or two a row.
     stars = _confirmed(spark, met.select("a", F.explode(F.array("lo", "hi")).alias("b")), sets)
-    roots = materialize(spark, connected(spark, stars), "near-roots")
-    # Then whatever shares a bucket and isn't joined yet.
-    placed = met.join(roots, met["a"] == roots["node"], "left").select("band", "key", "a", F.coalesce("root", "a").alias("root"))
-    open_ = placed.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    left = materialize(spark, placed.join(open_, ["band", "key"], "left_semi"), "near-open")
-    one, two = left.alias("one"), left.alias("two")
-    rest = one.join(two, ["band", "key"]).where("one.a > two.a and one.root <> two.root").select("one.a", F.col("two.a").alias("b"))
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    roots = connected(spark, stars.union(_confirmed(spark, rest, sets)))
+    # Then rows of buckets that aren't joined yet, each with four rows of its bucket
+    # drawn anew, until a round joins nothing. A round has at most four pairs a place.
+    found, turn = stars, 0
+    while True:
+        roots = materialize(spark, connected(spark, found), "near-roots")
+        placed = met.join(roots.hint("merge"), met["a"] == roots["node"], "left").select("band", "key", "a", F.coalesce("root", "a").alias("root"))
+        open_ = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
+        left = materialize(spark, placed.join(open_, ["band", "key"], "left_semi"), "near-open")
+        draws = [F.struct(F.xxhash64("a", F.lit(turn + i)).alias("h"), "a", "root") for i in (0, 1)]
+        ends = left.groupBy("band", "key").agg(F.array(*[best(d) for d in draws for best in (F.min, F.max)]).alias("ends"))
+        pairs = left.join(ends, ["band", "key"]).select("a", "root", F.explode("ends").alias("b")).where("root <> b.root").select("a", "b.a").toDF("a", "b")
+        more = _confirmed(spark, pairs, sets)
+        if more.isEmpty():
+            break
+        found, turn = found.union(more), turn + 2
     return nodes.join(roots, "node", "left").select("_set", F.coalesce("root", "node").alias("root"))
 
 
@@ -246,9 +252,10 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Near duplicates have ``NEAR`` of their ``NEAR_SIZE``-word shingles in common
     (Jaccard, over the sets), and groups are the components of such pairs. Pairs
-    are looked for among rows that share a band of min-hashes, and all of those
-    that aren't joined yet are compared: a pair at the limit is missed in 5 of
-    100,000 cases (1 - 0.8^5)^25, more alike pairs less. The fingerprints of
+    are looked for among rows that share a band of min-hashes: a pair at the limit
+    is missed in 5 of 100,000 cases (1 - 0.8^5)^25, more alike pairs less. Rows of a
+    band are compared with its ends and then, where they aren't joined, with rows of
+    it that are drawn anew, until a round joins nothing; never all with all. The fingerprints of
     ``components`` don't serve here: such pairs differ in up to 11 bits or so.
 
     Rows without an id all stay.
