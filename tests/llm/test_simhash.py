@@ -72,6 +72,14 @@ def test_long_chain(spark):
     assert {r.root for r in simhash.connected(spark, edges).collect()} == {0}
 
 
+def test_nodes_of_any_size(spark):
+    # The sum of these nodes is beyond a long, either way.
+    for at in (-(2**63), 2**63 - 20):
+        edges = spark.createDataFrame([(at + i + 1, at + i) for i in (0, 1, 5, 6, 10, 11)], "a long, b long")
+        got = {r.node: r.root for r in simhash.connected(spark, edges).collect()}
+        assert got == {at + i: at + i - i % 5 for i in (1, 2, 6, 7, 11, 12)}
+
+
 def test_documents(spark):
     rng = random.Random(5)
     text = " ".join(rng.choice("abcdefghij") * 3 for _ in range(400))

@@ -138,7 +138,8 @@ def connected(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> Da
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("c").alias("a"), F.col("m").alias("b")))
         old, e = e, materialize(spark, small.where("a > b").distinct(), "edges")
         discard(old)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum("b")).first()
+        # Nodes may be fingerprints, whose sums exceed a long.
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
