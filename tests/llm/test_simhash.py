@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -125,3 +126,36 @@ def test_edited_copies(spark):
     want = set(roots(sorted(of), linked).values())
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(spark, df).collect()) == sorted(want)
+
+
+def test_near_dedup_prints_shingle_sets():
+    rng = random.Random(8)
+    for n in (0, 1, 2, 3, 600):
+        hashes = np.array(sorted(rng.getrandbits(64) for _ in range(n)), np.uint64)
+        got = int.from_bytes(simhash.wide_fingerprint(hashes), "little")
+        mixed = []
+        for h in hashes.tolist():
+            x = [h * f % (1 << 64) for f in simhash._FACTORS.tolist()]
+            x = [(v ^ v >> 32) * f % (1 << 64) for v, f in zip(x, simhash._FACTORS[::-1].tolist())]
+            mixed.append(sum((v ^ v >> 29) << 64 * i for i, v in enumerate(x)))
+        votes = [2 * sum(m >> b & 1 for m in mixed) + (mixed[0] >> b & 1 if n else 0) for b in range(256)]
+        assert got == sum(1 << b for b, v in enumerate(votes) if v > n)
+
+
+def test_near_dedup_compares_what_stands_side_by_side(spark):
+    rng = random.Random(9)
+    center, fps = rng.getrandbits(256), []
+    for i in range(300):  # a large group, some of it near one another, and others
+        bits = rng.sample(range(256), rng.randrange(10, 60)) if i < 150 else range(0)
+        fps.append((center if i < 150 else rng.getrandbits(256)) ^ sum(1 << b for b in bits))
+    fps += fps[:3]
+    data = [(i, f.to_bytes(32, "little")) for i, f in enumerate(fps)]
+    want = set()
+    for order in simhash._ORDER_BITS.tolist():
+        row = sorted((sum((f >> b & 1) << 31 - i for i, b in enumerate(order)), n) for n, f in enumerate(fps))
+        for step in range(1, simhash.BESIDE + 1):
+            want |= {(max(x, y), min(x, y)) for (_, x), (_, y) in zip(row, row[step:]) if (fps[x] ^ fps[y]).bit_count() <= simhash.NEAR_BITS}
+    got = {tuple(r) for r in simhash._candidates(spark, spark.createDataFrame(data, "uid long, fp binary")).collect()}
+    # Rows at the ends of partitions may meet some more; those are near as well.
+    assert want <= got and len(got) < len(want) + 50 and {(300, 0), (301, 1), (302, 2)} <= got
+    assert all((fps[a] ^ fps[b]).bit_count() <= simhash.NEAR_BITS for a, b in got)

@@ -25,7 +25,7 @@ Defined cases: null and empty texts have fingerprint zero and are linked like
 any other; repeated rows each get a result row; null ids count as the largest
 when the smallest id of a component is taken; empty tables give empty results;
 other columns are ignored by ``components`` and kept by ``keep_one``, which has
-its own measure of likeness and its own search.
+wider fingerprints and confirms its pairs by their shingles.
 """
 
 from __future__ import annotations
@@ -43,13 +43,19 @@ from weftline.llm._common import byte_text, discard, map_batches, materialize
 
 SEED = 42
 BITS = 64
-#: Near duplicates of ``keep_one``: words a shingle, Jaccard similarity.
+#: Near duplicates of ``keep_one``: words a shingle, Jaccard similarity, 64-bit
+#: words of a fingerprint and the bits that those of candidates differ in at most.
 NEAR_SIZE = 5
 NEAR = 0.8
-BANDS = 25
-BAND_ROWS = 5
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64)
-_FACTORS, _OFFSETS = _DRAWN[0] | np.uint64(1), _DRAWN[1]
+NEAR_WORDS = 4
+NEAR_BITS = 56
+#: Orders of the fingerprints, and rows that each row is compared with in each.
+ORDERS = 96
+BESIDE = 6
+_RNG = np.random.default_rng(SEED)
+_FACTORS = _RNG.integers(0, 1 << 64, NEAR_WORDS, np.uint64) | np.uint64(1)
+#: The 32 bits that each order sorts by, from the first on.
+_ORDER_BITS = np.array([_RNG.permutation(BITS * NEAR_WORDS)[:32] for _ in range(ORDERS)])
 
 
 def masks(radius: int = 2) -> list[int]:
@@ -169,28 +175,112 @@ def shingle_set(text: bytes, size: int = NEAR_SIZE) -> np.ndarray:
     return np.unique(np.array(_shingle_hashes(text, size), np.uint64))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A key for each band of min-hashes, which depends on the set alone."""
-    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
-    for a in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[a : a + 4096, None] * _FACTORS + _OFFSETS).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
-
-
-def _banded(docs: DataFrame) -> DataFrame:
-    """The rows with _uid, _set (a hash of their shingle set) and _bands."""
+def wide_fingerprint(hashes: np.ndarray) -> bytes:
+    """Majority bits of NEAR_WORDS words over a shingle set, each word another mix of
+    its hashes. The smallest hash decides ties, so few shingles give no excess of zeros."""
+    if not len(hashes):
+        return bytes(8 * NEAR_WORDS)
+    counts = np.zeros(BITS * NEAR_WORDS, np.int64)
+    for a in range(0, len(hashes), 255):  # a counter holds 255
+        x = hashes[a : a + 255, None] * _FACTORS
+        x ^= x >> np.uint64(32)
+        x *= _FACTORS[::-1]
+        x ^= x >> np.uint64(29)
+        counts += np.add.reduce(_SPREAD[x.view(np.uint8).reshape(len(x), -1)]).view(np.uint8)
+        if not a:
+            least = np.unpackbits(x[0].view(np.uint8), bitorder="little")
+    return np.packbits(2 * counts + least > len(hashes), bitorder="little").tobytes()
+
+
+def _printed(docs: DataFrame) -> DataFrame:
+    """The rows with _uid, _set (a hash of their shingle set) and _fp."""
     rows = docs.withColumn("_uid", F.monotonically_increasing_id()).withColumn("_bytes", byte_text())
-    schema = rows.drop("_bytes").schema.add("_set", "long").add("_bands", T.ArrayType(T.LongType()))
+    schema = rows.drop("_bytes").schema.add("_set", "long").add("_fp", "binary")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
         keys = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64))
-        bands = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys, bands], names=[*batch.schema.names[:-1], "_set", "_bands"])
+        fps = pa.array([wide_fingerprint(x) for x in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], keys, fps], names=[*batch.schema.names[:-1], "_set", "_fp"])
 
     return map_batches(rows, run, schema)
 
 
+def _placed(own: DataFrame) -> DataFrame:
+    """(uid, fp, at): the place of each row of (uid, fp) in every order, with the order's number above it."""
+    turns = np.arange(ORDERS, dtype=np.int64) << 32
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, 1024):
+            part = batch.slice(a, 1024)
+            bits = np.unpackbits(_words(part.column(1)).view(np.uint8), axis=1, bitorder="little")
+            key = np.packbits(np.take(bits, _ORDER_BITS, axis=1), axis=2).view(">u4")[:, :, 0].astype(np.int64) | turns
+            at = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1, dtype=np.int32) * ORDERS), pa.array(key.ravel()))
+            yield pa.RecordBatch.from_arrays([*part.columns, at], names=["uid", "fp", "at"])
+
+    return map_batches(own, run, "uid long, fp binary, at array<long>")
+
+
+def _words(fps: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(fps.to_pylist()), np.uint64).reshape(-1, NEAR_WORDS)
+
+
+def _beside(rows: DataFrame) -> DataFrame:
+    """(a, b, at, fp): of rows (at, uid, fp) in order, the pairs a, b of one order
+    with at most BESIDE - 1 rows between them whose fingerprints are near. The first
+    and last BESIDE rows of every partition come out too, without b."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, end = ["a", "b", "at", "fp"], None
+
+        def ends(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            out = [t["uid"], pa.nulls(len(t), pa.int64()), t["at"], t["fp"]]
+            return pa.Table.from_arrays(out, names=names).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            if end is None:
+                head, t = new.slice(0, BESIDE), new
+                yield ends(head)
+            else:
+                t = pa.concat_tables([end, new])
+            before = len(t) - len(new)
+            at, uid, fp = t["at"].to_numpy(), t["uid"].to_numpy(), _words(t["fp"])
+            for step in range(1, BESIDE + 1):
+                low = max(before - step, 0)  # pairs whose second row is new
+                if len(t) - low <= step:
+                    continue
+                x, y = slice(low, len(t) - step), slice(low + step, len(t))
+                near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1, dtype=np.int64) <= NEAR_BITS
+                hit = np.flatnonzero(near & (at[x] >> 32 == at[y] >> 32))
+                if len(hit):
+                    none = len(hit)
+                    yield pa.RecordBatch.from_arrays([pa.array(uid[x][hit]), pa.array(uid[y][hit]), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())], names=names)
+            end = t.slice(max(len(t) - BESIDE, 0))
+        if end is not None:
+            yield ends(end)
+
+    return rows.mapInArrow(run, "a long, b long, at long, fp binary")
+
+
+def _candidates(spark: SparkSession, own: DataFrame) -> DataFrame:
+    """The written pairs (a, b), a > b, of rows of (uid, fp) that stand side by side
+    in an order and whose fingerprints are near."""
+    placed = materialize(spark, _placed(own), "near-places")
+    rows = placed.select(F.explode("at").alias("at"), "uid", "fp")
+    found = materialize(spark, _beside(rows.repartitionByRange("at", "uid").sortWithinPartitions("at", "uid")), "near-found")
+    # Rows on two sides of a partition's end: some for each partition, whatever the input.
+    ends = found.where("b IS NULL").select("at", F.col("a").alias("uid"), "fp").distinct()
+    over = _beside(ends.repartition(1).sortWithinPartitions("at", "uid"))
+    pairs = found.select("a", "b").union(over.select("a", "b")).where("a <> b")
+    out = materialize(spark, pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
+    discard(placed, found)
+    return out
+
+
 def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """(uid, set): shingle sets of the rows whose _uid is among ``ids``."""
 
@@ -209,41 +299,22 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFr
 
     Sets are compared a row at a time in the JVM, as many pairs may share a long one.
     """
-    pairs = materialize(spark, pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-pairs")
-    # b, which many pairs may have, is joined last: its set isn't shuffled again.
     left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
     both = left.join(sets.select(F.col("uid").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
     both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("n"))
     union = F.col("nx") + F.col("ny") - F.col("n")
-    out = materialize(spark, both.where((union == 0) | (F.col("n") / union >= NEAR)).select("a", "b"), "near-links")
-    discard(pairs)
-    return out
+    return both.where((union == 0) | (F.col("n") / union >= NEAR)).select("a", "b")
 
 
 def near_groups(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """(_set, root) of ``rows``, which are _banded() and written."""
+    """(_set, root) of ``rows``, which are _printed() and written."""
     nodes = materialize(spark, rows.groupBy("_set").agg(F.min("_uid").alias("node")), "near-nodes")
-    own = rows.join(nodes, rows["_uid"] == nodes["node"], "left_semi").select("_uid", F.posexplode("_bands").alias("band", "key"))
-    shared = own.groupBy("band", "key").agg(F.min("_uid").alias("lo"), F.max("_uid").alias("hi")).where("lo <> hi")
-    met = materialize(spark, own.join(shared, ["band", "key"]).select("band", "key", F.col("_uid").alias("a"), "lo", "hi"), "near-met")
-    sets = materialize(spark, _sets(rows, met.select("a").distinct()), "near-sets")
-    # First with the two ends of each bucket: one comparison or two a row.
-    stars = _confirmed(spark, met.select("a", F.explode(F.array("lo", "hi")).alias("b")), sets)
-    # Then rows of buckets that aren't joined yet, each with four rows of its bucket
-    # drawn anew, until a round joins nothing. A round has at most four pairs a place.
-    found, turn = stars, 0
-    while True:
-        roots = materialize(spark, connected(spark, found), "near-roots")
-        placed = met.join(roots.hint("merge"), met["a"] == roots["node"], "left").select("band", "key", "a", F.coalesce("root", "a").alias("root"))
-        open_ = placed.groupBy("band", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "key")
-        left = materialize(spark, placed.join(open_, ["band", "key"], "left_semi"), "near-open")
-        draws = [F.struct(F.xxhash64("a", F.lit(turn + i)).alias("h"), "a", "root") for i in (0, 1)]
-        ends = left.groupBy("band", "key").agg(F.array(*[best(d) for d in draws for best in (F.min, F.max)]).alias("ends"))
-        pairs = left.join(ends, ["band", "key"]).select("a", "root", F.explode("ends").alias("b")).where("root <> b.root").select("a", "b.a").toDF("a", "b")
-        more = _confirmed(spark, pairs, sets)
-        if more.isEmpty():
-            break
-        found, turn = found.union(more), turn + 2
+    own = rows.join(nodes, rows["_uid"] == nodes["node"], "left_semi").select(F.col("_uid").alias("uid"), F.col("_fp").alias("fp"))
+    pairs = _candidates(spark, own)
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(spark, _sets(rows, met), "near-sets")
+    roots = connected(spark, _confirmed(spark, pairs, sets))
+    discard(pairs, sets)
     return nodes.join(roots, "node", "left").select("_set", F.coalesce("root", "node").alias("root"))
 
 
@@ -252,18 +323,19 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     columns kept.
 
     Near duplicates have ``NEAR`` of their ``NEAR_SIZE``-word shingles in common
-    (Jaccard, over the sets), and groups are the components of such pairs. Pairs
-    are looked for among rows that share a band of min-hashes: a pair at the limit
-    is missed in 5 of 100,000 cases (1 - 0.8^5)^25, more alike pairs less. Rows of a
-    band are compared with its ends and then, where they aren't joined, with rows of
-    it that are drawn anew, until a round joins nothing; never all with all. The fingerprints of
-    ``components`` don't serve here: such pairs differ in up to 11 bits or so.
+    (Jaccard, over the sets), and groups are the components of such pairs. They are
+    found by SimHash: the fingerprints of the different sets, of 4 x 64 bits, are
+    sorted by ORDERS drawn choices of their bits, and each is compared with the
+    BESIDE next ones; pairs within NEAR_BITS bits are confirmed by their sets. So a
+    row meets a fixed number of others however many are alike. Pairs at the limit
+    differ in 39 +- 6 bits. The 64 bits and 2 differences of ``components`` don't serve
+    here: such pairs differ in up to 11 bits or so of those.
 
     Rows without an id all stay.
     """
     # Other columns get names that clash with none of those added here.
     names = [c if c in ("doc_id", "text") else f"x{i}" for i, c in enumerate(docs.columns)]
-    rows = materialize(spark, _banded(docs.toDF(*names)), "near-rows")
+    rows = materialize(spark, _printed(docs.toDF(*names)), "near-rows")
     groups = near_groups(spark, rows)
     first = rows.where(F.col("doc_id").isNotNull()).select("_set", "_uid", "doc_id").join(groups, "_set")
     first = first.groupBy("root").agg(F.min(F.struct("doc_id", "_uid")).alias("at")).select(F.col("at._uid").alias("_uid"))
