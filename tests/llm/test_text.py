@@ -316,6 +316,69 @@ def test_a_passage_behind_its_pieces(spark):
     assert got == want
 
 
+def test_a_passage_behind_many_pieces(spark):
+    """Pieces of a passage stand in more earlier documents than there are rounds or seeds paired all with all."""
+    rng = random.Random(16)
+    say = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
+    docs, want = [], set()
+    for case, (n, times) in enumerate([(120, 3), (120, passages.FEW + 5), (51, passages.FEW + 5)]):
+        p, at, step = say(n), 10_000 * case, 27 if n > 51 else 6
+        starts = range(0, n - 40 + step, step)
+        docs += [(at + 100 * i + j, " ".join([*say(20), *p[a : a + 40], *say(20)])) for i, a in enumerate(starts) for j in range(times)]
+        docs += [(at + 5000 + i, " ".join([*say(9 * i), *p, *say(20)])) for i in range(3)]
+        want |= {(at + 5000 + i, at + 5000) for i in (1, 2)}
+    # An earlier document has the passage's first 60 words, others a piece of the rest.
+    p, at = say(85), 90_000
+    docs += [(at, " ".join([*say(9), *p[:60], *say(9)])), *((at + 1 + i, " ".join([*say(20), *p[48:], *say(20)])) for i in range(3))]
+    docs += [(at + 10, " ".join([*say(9), *p, *say(9)])), (at + 11, " ".join([*p, *say(30)]))]
+    want |= {(at + 10, at), (at + 11, at), (at + 11, at + 10)}
+    got = {(r.doc_id, r.ref_doc_id): r for r in passages.passages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert set(got) == want
+    assert (got[at + 11, at + 10].start_word, got[at + 11, at + 10].end_word) == (0, 85)
+
+
+def test_passages_against_all_pairs(spark):
+    """Documents that share a run of MIN_WORDS words have it from one document, or one from the other."""
+    rng = random.Random(17)
+    pool = [[f"w{rng.randrange(9000)}" for _ in range(rng.randrange(60, 200))] for _ in range(6)]
+    docs = []
+    for i in range(160):
+        text = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(pool[:2] if i % 2 else pool)
+            a = rng.randrange(len(p) - 20)
+            text += p[a : a + rng.randrange(20, 90)] + [f"w{rng.randrange(9000)}" for _ in range(rng.randrange(3, 30))]
+        docs.append((i, " ".join(text)))
+    docs += [(200 + i, docs[i][1]) for i in range(20)]
+    n, of = passages.MIN_WORDS, {d: t.split() for d, t in docs}
+    got: dict = {}
+    for r in passages.passages(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.ref_doc_id < r.doc_id and r.n_words >= n and r.identity >= 0.8
+        got.setdefault(r.doc_id, []).append(r)
+    inside = lambda d, e, a: [r for r in got.get(d, []) if (e is None or r.ref_doc_id == e) and r.start_word <= a and a + n <= r.end_word]
+    places: dict = {}
+    for d, t in of.items():
+        for a in range(len(t) - n + 1):
+            places.setdefault(tuple(t[a : a + n]), []).append((d, a))
+    shared = [x for x in places.values() if len({d for d, _ in x}) > 1]
+    assert len(shared) > 200 and max(map(len, shared)) > passages.FEW
+    for at in shared:
+        linked = {d: d for d, _ in at}
+
+        def root(d):
+            while linked.get(d, d) != d:
+                d = linked[d]
+            return d
+
+        for d, a in at:
+            for r in inside(d, None, a):
+                x, y = root(d), root(r.ref_doc_id)
+                linked[max(x, y)] = min(x, y)
+        assert len({root(d) for d, _ in at}) == 1
+        first = min(d for d, _ in at)
+        assert all(inside(d, None, a) for d, a in at if d != first)
+
+
 def test_passages(spark):
     rng = random.Random(10)
     say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
