@@ -291,6 +291,56 @@ def test_words_and_seeds():
     assert not len(passages.words(b"")[0]) and not len(passages.words(b" \n ")[0])
 
 
+def test_texts_side_by_side():
+    """Seeds and places of many texts at once are those of each text by itself."""
+    rng = random.Random(21)
+    texts = [b"", b" ", b"a b c", b"a b c d e f", b" ".join([b"x"] * 200)]
+    texts += [b"\n".join(rng.choice([b"a", b"B", b"\xc3\xa9", b"w%d" % rng.randrange(30)]) for _ in range(rng.randrange(90))) for _ in range(200)]
+    rng.shuffle(texts)
+    some = passages.Texts(texts)
+    h, at = some.seeds()
+    row, pos, around = some.places(at)
+    got = sorted(zip(row.tolist(), pos.tolist(), h.tolist(), around.tolist()))
+    want = []
+    for i, text in enumerate(texts):
+        one, start, end = passages.words(text.lower())
+        for x, p in zip(*(c.tolist() for c in passages.seeds(one))):
+            want.append((i, p, x, int(start[max(p - passages.MARGIN, 0)]) << 32 | int(end[min(p + passages.K + passages.MARGIN, len(one)) - 1])))
+    assert len(want) > 500 and got == sorted(want)
+    one = np.random.default_rng(22).integers(0, 1 << 63, 120, np.uint64)
+    for n in (1, 2, 6, 7, 50, 120):
+        slow = []
+        for i in range(len(one) - n + 1):
+            x = 0
+            for y in one[i : i + n].tolist():
+                x = (x * int(passages._MIX) + y) % (1 << 64)
+            x = (x ^ x >> 31) * 0xBF58476D1CE4E5B9 % (1 << 64)
+            slow.append(x ^ x >> 27)
+        assert passages._runs_of(one, n).tolist() == slow
+
+
+def test_single_anchors_side_by_side(monkeypatch):
+    """Alignments of one anchor are those of ``align``, which is asked for few of them."""
+    rng = random.Random(23)
+    jobs = []
+    for _ in range(1500):
+        a = [rng.randrange(9) for _ in range(rng.randrange(6, 135))]
+        rate = rng.choice([0.3, 0.5, 0.85, 0.95, 1])
+        b = [x if rng.random() < rate else -1 for x in a]
+        p = rng.randrange(max(0, len(a) - 70), min(65, len(a) - 5))
+        r = rng.choice([p, rng.randrange(p + 1)])
+        b = b[p - r :]
+        b[r : r + 6] = a[p : p + 6]
+        jobs.append((a, b, p, r))
+    a = list(range(134))  # the best stretch is behind the anchor, another across it
+    jobs.append((a, [-1] * 20 + a[20:70] + [-1] * 13 + a[83:], 64, 64))
+    want = [list(passages.align(a, b, [(p, r)])) for a, b, p, r in jobs]
+    asked, ask = [], passages.align
+    monkeypatch.setattr(passages, "align", lambda *a: asked.append(1) or ask(*a))
+    assert passages.align_ones(jobs) == want and passages.align_ones([]) == []
+    assert sum(map(bool, want)) > 300 and max(map(len, want)) > 1 and len(asked) < 0.1 * len(jobs)
+
+
 def test_long_gaps_are_aligned():
     rng = random.Random(14)
     say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
